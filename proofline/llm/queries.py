@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import decontam, html_text, langid, packing, quality, simhash, warc
+from proofline.llm import ann, decontam, html_text, langid, line_dedup, packing, quality, quotes, simhash, warc
 from proofline.llm.common import crc_mod, table
 
 
@@ -26,6 +26,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=5)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, error=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,14 +70,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_nearest": op2_nearest,
+    "op3_quotations": op3_quotations,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op6_html_text": op6_html_text,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

@@ -133,15 +133,18 @@ def stars(fps: DataFrame, error: int, chunk: int = 200_000) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _classes(docs: DataFrame, width: int, error: int) -> DataFrame:
-    """(doc_id, text_hash, fp, component): component is the smallest fingerprint reachable."""
+def _classes(docs: DataFrame, width: int, error: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_hash, fp); and (fp, first, component_first) of the distinct fingerprints: the first row of each and of its component."""
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "simhash")
     rows = scratch.keep(fingerprints(docs, width), "fingerprints")
-    distinct = rows.select("fp").distinct()
-    roots = connected(spark, stars(distinct, error), scratch)
-    return rows.join(roots, rows.fp == roots.node, "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("component"))
+    first = F.min(F.struct(order_key(F.col("doc_id")).alias("id"), F.col("text_hash").alias("text")))
+    distinct = scratch.keep(rows.groupBy("fp").agg(first.alias("first")), "distinct")
+    roots = connected(spark, stars(distinct.select("fp"), error), scratch)
+    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("component"))
+    least = linked.groupBy("component").agg(F.min("first").alias("component_first"))
+    return rows, linked.join(least, "component").select("fp", "first", "component_first")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, error: int = 4) -> DataFrame:
@@ -151,9 +154,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, error: int = 4) -> DataFram
     link like any other. Repeated rows are equal, so they link. A null doc_id is never the smallest unless all of a component's
     are null; component_id is null then. An empty table gives no rows. Other columns are not read.
     """
-    rows = _classes(docs, width, error)
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component").select("doc_id", "fp", "component_id")
+    rows, classes = _classes(docs, width, error)
+    smallest = F.col("component_first.id")
+    return rows.join(classes, "fp").select("doc_id", "fp", F.when(smallest < 2**63 - 1, smallest).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 4, error: int = 4) -> DataFrame:
@@ -161,7 +164,8 @@ def keep_first(docs: DataFrame, width: int = 4, error: int = 4) -> DataFrame:
 
     Ties of a doc_id go to the smaller hash of the text; of rows equal in both, one stays.
     """
+    _, classes = _classes(docs, width, error)
+    stay = classes.where("first = component_first").select(F.col("first.id").alias("__id"), F.col("first.text").alias("__text"))
     key = [order_key(F.col("doc_id")).alias("__id"), text_hash(F.col("text").cast("string")).alias("__text")]
-    first = _classes(docs, width, error).groupBy("component").agg(F.min(F.struct(order_key(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__text"))).alias("f"))
-    kept = docs.select("*", *key).join(first.select("f.__id", "f.__text"), ["__id", "__text"], "left_semi")
+    kept = docs.select("*", *key).join(stay, ["__id", "__text"], "left_semi")
     return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)

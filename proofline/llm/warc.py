@@ -204,7 +204,7 @@ def read(spark: SparkSession, files: DataFrame, split_bytes: int = 16 << 20) ->
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, RECORD)
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, RECORD)  # a range for each task
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, split_bytes: int = 16 << 20) -> DataFrame:
