@@ -1,0 +1,116 @@
+"""python -m proofline ingest | sessions | audit | mutate | export-corpus | eval"""
+
+from __future__ import annotations
+
+import argparse
+import sys
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from proofline.functions.dictionaries import REDACTIONS, Redaction, load_redactions, merged
+from proofline.plans import audit, evaluate, export, mutate, reports
+from proofline.sources.store import Store, StoreError
+from proofline.sources.transcripts import expand, lines, read_files
+
+
+def _arguments() -> argparse.Namespace:
+    top = argparse.ArgumentParser(prog="proofline")
+    top.add_argument("--user", help="name of the system's user, to be masked")
+    top.add_argument("--redactions", help="a redaction dictionary")
+    commands = top.add_subparsers(dest="command", required=True)
+
+    def add(name: str, *options: tuple) -> None:
+        sub = commands.add_parser(name)
+        sub.add_argument("--db", default="proofline-store")
+        for option, settings in options:
+            sub.add_argument(option, **settings)
+
+    add("ingest", ("patterns", {"nargs": "+"}), ("--force", {"action": "store_true"}))
+    add("sessions")
+    add("audit", ("session", {"nargs": "?"}), ("--all", {"action": "store_true"}), ("--out", {"default": "audit-reports"}), ("--html", {"action": "store_true"}))
+    add("mutate", ("--out", {"default": "mutations"}), ("--anonymized-dir", {"default": str(Path.home() / ".proofline/corpus")}))
+    add("export-corpus", ("--out", {"default": str(Path.home() / ".proofline/corpus")}))
+    add("eval", ("--mutations", {"required": True}), ("--out", {}))
+    return top.parse_args()
+
+
+def _listed(store: Store, user: str, more: list[str] = ()) -> tuple:
+    sessions = store.read("sessions")
+    paths = [r[0].replace("/Users/USER", f"/Users/{user}").replace("-Users-USER-", f"-Users-{user}-") for r in sessions.select("source_path").collect()]
+    there = [p for p in [*paths, *more] if Path(p).is_file()]
+    return sessions, store.spark.createDataFrame([(p,) for p in there], "path string")
+
+
+def main() -> int:
+    args = _arguments()
+    spark = SparkSession.builder.appName("proofline").getOrCreate()
+    settings = Redaction(args.user, tuple(merged(load_redactions(args.redactions)) if args.redactions else REDACTIONS))
+    store = Store(spark, str(Path(args.db).absolute()) if "://" not in args.db else args.db, settings)
+    user = args.user or "USER"
+    if args.command == "ingest":
+        failed = 0
+        for path in expand(args.patterns):
+            try:
+                for row in audit.ingest(store, path, args.force).collect():
+                    print(f"{path}: session {row.id}, {row.total_lines} lines, {row.redaction_count} redactions")
+            except Exception as why:  # the other files go on
+                failed += 1
+                print(f"{path}: {str(why)[:300]}", file=sys.stderr)
+        return int(failed > 0)
+    if args.command == "sessions":
+        store.summary().show(1000, False)
+    elif args.command == "audit":
+        if not args.all and not args.session:
+            raise SystemExit("give a session or --all")
+        found, verdicts, contracts = audit.audit_store(store, None if args.all else args.session)
+        sessions = store.read("sessions", None if args.all else args.session).selectExpr("id as session_id")
+        bundles = reports.bundle(sessions, found, verdicts, store.read("events", None if args.all else args.session), contracts, 200 if args.html else 160)
+        texts = [("json", reports.as_json(bundles)), ("md", reports.as_markdown(bundles))] + ([("html", reports.as_html(bundles))] if args.html else [])
+        for kind, df in texts:
+            df.withColumnRenamed(df.columns[1], "value").write.mode("overwrite").partitionBy("session_id").text(f"{args.out}/{kind}")
+        if args.html and args.all:
+            reports.index_page(reports.totals(found, verdicts, sessions)).withColumnRenamed("html", "value").coalesce(1).write.mode("overwrite").text(f"{args.out}/index")
+        reports.histogram(verdicts).show()
+        reports.histogram(verdicts, "reason_code").show(50, False)
+        reports.run_totals(found, sessions).show()
+    elif args.command == "mutate":
+        folder = args.anonymized_dir
+        sessions, files = _listed(store, user, [str(p) for p in Path(folder).glob("*.jsonl")])
+        sources = export.mutation_sources(sessions, files, folder, user).persist()
+        paths = [r.path for r in sources.where("path is not null").collect()]
+        if not paths:
+            raise SystemExit("no transcript was found")
+        made, manifest, skipped = mutate.generate(read_files(spark, paths), settings)
+        kept = made.join(manifest.select("mutant_id"), "mutant_id", "left_semi")
+        kept.repartition("mutant_id").sortWithinPartitions("mutant_id", "line").select("operator", "mutant_id", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("operator", "mutant_id").text(f"{args.out}/files")
+        kept.write.mode("overwrite").parquet(f"{args.out}/lines")
+        manifest.coalesce(1).write.mode("overwrite").json(f"{args.out}/manifest")
+        mutate.per_operator(manifest).orderBy("operator").show()
+        skipped.show(50, False)
+    elif args.command == "export-corpus":
+        sessions, files = _listed(store, user)
+        sources = export.resolved(sessions, files, user).persist()
+        paths = [r.path for r in sources.where("path is not null").collect()]
+        rows = lines(read_files(spark, paths), r"\n").join(sources.withColumnRenamed("path", "file"), "file").select("session_id", "line", "raw")
+        problems = export.write(*export.export(rows, settings), args.out, sources)
+        print("\n".join(problems) if problems else f"written to {args.out}")
+        return int(bool(problems))
+    elif args.command == "eval":
+        manifest = spark.read.schema("mutant_id string, source_session string, mutant_session_id string, operator string, claim_kind string, target_claim_turn int, target_lines array<int>, expected_verdict string, expected_reason_code string, mutant_file string").json(f"{args.mutations}/manifest")
+        results = evaluate.evaluate(spark.read.parquet(f"{args.mutations}/lines"), manifest, settings).persist()
+        row = evaluate.report(results).first()
+        out = args.out or f"{args.mutations}/eval-reports"
+        for kind, text in (("json", row.json), ("md", row.markdown)):
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/{kind}")
+        print(row.markdown)
+        return int(not evaluate.passed(results))
+    return 0
+
+
+if __name__ == "__main__":
+    try:
+        sys.exit(main())
+    except StoreError as why:
+        sys.exit(str(why))

@@ -32,7 +32,7 @@ def evidence(claims: DataFrame, events: DataFrame) -> DataFrame:
     status: no-evidence, cwd-mismatch, clear-success, clear-failure, clear-failure-composite, partial-rerun or all-unknown; refs:
     the seq of all rows in scope, ascending.
     """
-    asked = claims.where("turn is not null").select("session_id", "claim_id", "kind", "turn", F.col("cwd").alias("claim_cwd"), F.explode(_checks()).alias("k")).select("*", "k.*").drop("k")
+    asked = claims.where("turn is not null").select("session_id", "claim_id", "kind", "turn", F.col("cwd").alias("claim_cwd"), F.explode(_checks()).alias("__check")).select("*", "__check.n", "__check.check", "__check.classes").drop("__check")
     ran = events.where("type = 'command' and command_class is not null and not coalesce(suppressed, false)").select(
         "session_id", "seq", "command_class", F.col("outcome_status").alias("status"), "cwd", normalized(F.col("redacted_input")).alias("command"),
     )
