@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from proofline.packages import ship
+
 #: Rows in one Arrow batch; with texts of 100,000 characters a batch then stays within tens of MB.
 BATCH_ROWS = "1000"
 
@@ -25,17 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small, since whole texts go to the Python workers, and send them this package, by Spark's own file server."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    context = spark.sparkContext
-    if getattr(context, "_proofline_sent", None):
-        return
-    top = Path(__file__).resolve().parents[1]
-    context._proofline_sent = tempfile.TemporaryDirectory()  # the driver's file server reads it as long as the session lives
-    archive = Path(context._proofline_sent.name, f"{top.name}-llm.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        out.write(top / "__init__.py", f"{top.name}/__init__.py")
-        for path in sorted(top.glob("llm/*.py")):
-            out.write(path, f"{top.name}/llm/{path.name}")
-    context.addPyFile(str(archive))
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
