@@ -138,8 +138,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 10, leaf
     both = sides.unionByName(routed.select(F.explode("cells").alias("cell"), F.lit(1).alias("side"), "key", "embedding", F.lit(None).cast("array<long>").alias("ids")))
     met = both.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_Leaves(k).run, "key long, found array<struct<less: double, vec_id: long>>")
     # copies of a query's own vector stand beside it, so k+1 are enough to leave itself out
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1)
-    nearest = met.groupBy("key").agg(best.alias("found"))
+    gathered = met.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))  # k+1 for each leaf that was visited
+    nearest = map_batches(gathered, lambda b: {"key": b.column("key"), "found": [_best(x, k + 1) for x in b.column("found")]}, "key long, found array<struct<less: double, vec_id: long>>")
     own = asked.join(index.select("key", "embedding"), "embedding").select("query_id", "key").join(nearest, "key")
     kept = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return own.select("query_id", F.posexplode(kept).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
@@ -155,6 +155,14 @@ def _lift(x: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
 
 
+def _best(found: pa.ListScalar, k: int) -> list[dict]:
+    """The k first of (less, vec_id), each vec_id once."""
+    less, ids = (found.values.field(i).to_numpy() for i in range(2))
+    ids, first = np.unique(ids, return_index=True)
+    order = np.lexsort((ids, less[first]))[:k]
+    return [{"less": float(less[first[o]]), "vec_id": int(ids[o])} for o in order]
+
+
 class _Leaves:
     """For rows sorted by (cell, side): each query's k+1 best rows of a leaf, in blocks of bounded size."""
 
@@ -195,11 +203,9 @@ class _Leaves:
             for row, scores, low in zip(part, near, edge - slack, strict=True):
                 pick = np.flatnonzero(scores >= low)
                 exact = np.einsum("ij,j->i", x[pick], row)
-                owner = np.repeat(pick, counts[pick])
                 score = np.repeat(exact, counts[pick])
                 spans = np.concatenate([ids[first[p] : first[p] + counts[p]] for p in pick])
                 order = np.lexsort((spans, -score))[: self.k]
-                del owner
                 found.append([{"less": -float(score[o]), "vec_id": int(spans[o])} for o in order])
         kind = pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())]))
         yield pa.RecordBatch.from_arrays([keys, pa.array(found, kind)], names=["key", "found"])
