@@ -140,7 +140,7 @@ LABELLED = [
     (2, 1.0, 1, 1.0, 3, 1.0, 0, 0), (1, 1.0, 2, 1.0, 40, 0.0, 0, 0), (3, 0.0, 1, 1.0, 2, 1.0, 0, 0), (5, 0.0, 4, 1.0, 3, 0.0, 0, 0), (4, 0.8, 3, 0.0, 30, 0.0, 0, 0),
     (60, 0.0, 5, 0.0, 70, 0.0, 0, 1), (35, 0.1, 60, 0.0, 20, 0.0, 0, 1), (6, 0.0, 60, 0.0, 55, 0.0, 0, 1), (9, 0.0, 2, 0.0, 60, 0.0, 0, 1), (18, 0.0, 40, 0.0, 35, 0.0, 0, 1),
     (80, 0.0, 0, 0.0, 0, 0.0, 0, 1), (22, 0.0, 3, 1.0, 45, 0.0, 0, 1), (7, 0.0, 6, 0.0, 5, 1.0, 0, 0), (20, 0.7, 30, 0.0, 3, 1.0, 0, 0), (10, 0.6, 10, 0.6, 10, 0.6, 0, 0),
-    (4, 0.0, 0, 0.0, 3, 0.0, 0, 0), (11, 0.2, 3, 0.0, 2, 0.0, 0, 0), (28, 0.0, 12, 0.0, 2, 0.0, 0, 1), (13, 0.0, 50, 0.0, 40, 0.2, 0, 1), (2, 0.0, 70, 0.0, 60, 0.0, 0, 1),
+    (4, 0.0, 0, 0.0, 3, 0.0, 0, 0), (11, 0.2, 3, 0.0, 2, 0.0, 0, 0), (28, 0.0, 12, 0.0, 2, 0.0, 0, 1), (14, 0.0, 0, 0.0, 0, 0.0, 0, 1), (13, 0.0, 50, 0.0, 40, 0.2, 0, 1), (2, 0.0, 70, 0.0, 60, 0.0, 0, 1),
 ]
 
 
