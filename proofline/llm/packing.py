@@ -8,6 +8,7 @@ sequences' free room finds in logarithmic time. The number of groups follows the
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,81 +20,106 @@ from pyspark.sql import functions as F
 from proofline.llm.common import Scratch, map_batches, prepare
 
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 #: Pieces in a group, about.
 GROUP_PIECES = 20_000
 
 
+#: A word of Latin letters (those that normalisation leaves alone) and the marks after it, if any.
+WORD = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Known(dict):
+    """Ids of words; words that are looked up in vain have none, and are noted."""
+
+    def __init__(self) -> None:
+        self.missed: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.missed.append(word)
+        return b""
+
+
 class Ids:
     """Token ids as little-endian unsigned 32-bit bytes, by the tokenizers library, with the ids of frequent words kept.
 
-    The tokenizer's normalisation and splitting never reach across white space, so a text's ids are those of its words
-    between ASCII white space, and lower-casing A-Z first changes nothing. Words of ASCII letters are one token group each, whose
-    last id alone ends a word; many of them are encoded in one call and told apart by that.
+    The tokenizer's normalisation and splitting never reach across white space, so a text's ids are those of its words between
+    ASCII white space, and lower-casing A-Z first changes nothing. A word of letters is one token group, as are the marks after
+    it. Words of Latin letters are encoded many in one call, without the steps that change nothing in them, and told apart by the
+    ids that end a word; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = sorted(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        need, parts = set(), {}
+        stems: dict[bytes, str] = {}
+        parts, other = {}, set()
         for word in words:
-            if len(word) > 1 and word[-1] in b".,!%$#*&?;:" and 97 <= word[-2] <= 122 and word[:-1].isalpha():
-                parts[word] = (word[:-1], word[-1:])
-                need.update(parts[word])
-            else:
-                need.add(word)
-        need -= self.known.keys()
-        letters = [w for w in need if w.isalpha()]
-        for at in range(0, len(letters), 4096):
-            some = letters[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            found = WORD.fullmatch(word.decode("utf-8", "replace"))
+            if not found:
+                other.add(word)
+                continue
+            stem, marks = found.groups()
+            key = stem.encode()
+            if key not in self.known:
+                stems[key] = stem.lower()
+            if marks:
+                parts[word] = key, marks.encode()
+                if parts[word][1] not in self.known:
+                    other.add(parts[word][1])
+        keys = list(stems)
+        for at in range(0, len(keys), 4096):
+            some = keys[at : at + 4096]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(stems[k] for k in some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
             if len(ends) == len(some):
-                spans = zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)
-                self.known.update((w, ids[a:b].tobytes()) for w, a, b in spans)
+                self.known.update((k, data[a:b]) for k, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
             else:
-                self.known.update((w, self.plain(w.decode())) for w in some)
-        other = [w for w in need if not w.isalpha()]
-        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
+                self.known.update((k, self.plain(stems[k])) for k in some)
+        rest = list(other)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for word, (stem, mark) in parts.items():
-            self.known[word] = self.known[stem] + self.known[mark]
+        for word, (key, marks) in parts.items():
+            self.known[word] = self.known[key] + self.known[marks]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         out, later = [], {}
-        new: set[bytes] = set()
+        missed, look_up = self.known.missed, self.known.__getitem__
+        missed.clear()
         for i, text in enumerate(texts):
             data = text.encode("utf-8", "replace").lower() if text else b""
             if b"<|" in data and any(s in data for s in self.special):  # an added token's own text: no words to keep
                 out.append(self.plain(text))
                 continue
-            words = data.split()
-            found = list(map(self.known.get, words))
-            if None in found:
-                new.update(w for w, f in zip(words, found, strict=True) if f is None)
-                later[i] = words
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
-        if new:
-            self.learn(new)
-            for i, words in later.items():
-                out[i] = b"".join(map(self.known.__getitem__, words))
+            words, before = data.split(), len(missed)
+            ids = list(map(look_up, words))
+            if len(missed) > before:
+                later[i] = words, ids
+            out.append(b"".join(ids))
+        if missed:
+            self.learn(set(missed))
+            for i, (words, ids) in later.items():
+                for k, part in enumerate(ids):
+                    if not part:
+                        ids[k] = look_up(words[k])
+                out[i] = b"".join(ids)
         return out
 
 
