@@ -9,24 +9,21 @@ from proofline.operators.adapter import adapt
 from proofline.operators.claims import ClaimExtractor, RuleClaims
 from proofline.operators.contract import ContractExtractor, RuleContract
 from proofline.operators.verdicts import evaluate
+from proofline.scratch import cut
 from proofline.sources.store import Store
 from proofline.sources.transcripts import lines, parse, read_files
 
 
 def ingest(store: Store, paths: str | list[str], force: bool = False) -> DataFrame:
     """Read transcripts into the store; gives the sessions that were stored."""
-    parsed = parse(lines(read_files(store.spark, paths))).persist()
-    try:
-        sessions, events = adapt(parsed, store.settings)
-        sessions, events = sessions.persist(), events.persist()
-        store.upsert(sessions, events, force)
-        return store.spark.createDataFrame(sessions.select("id", "source_path", "total_lines", "redaction_count", "mismatch").collect(), sessions.select("id", "source_path", "total_lines", "redaction_count", "mismatch").schema)
-    finally:
-        parsed.unpersist()
+    sessions, events = adapt(cut(parse(lines(read_files(store.spark, paths))), "parsed"), store.settings)
+    sessions, events = cut(sessions, "sessions"), cut(events, "events")
+    store.upsert(sessions, events, force)
+    return sessions.select("id", "source_path", "total_lines", "redaction_count", "mismatch")
 
 
 def audit(events: DataFrame, claims: ClaimExtractor | None = None, contract: ContractExtractor | None = None, settings: Redaction = Redaction()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(claims, verdicts, contracts) of all sessions with events."""
+    """(claims, verdicts, contracts) of all sessions with events; give it a table that was read, not a long plan."""
     found = (claims or RuleClaims(settings)).extract(events.where("type = 'report'"))
     contracts = (contract or RuleContract(settings)).extract(events.where("type = 'instruction'").select("session_id", "seq", "redacted_input"))
     return found, evaluate(found, events), contracts
@@ -35,9 +32,9 @@ def audit(events: DataFrame, claims: ClaimExtractor | None = None, contract: Con
 def audit_store(store: Store, session_id: str | None = None, claims: ClaimExtractor | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Audit one session or all, and store the result."""
     events = store.read("events", session_id)
-    found, verdicts, contracts = audit(events, claims, settings=store.settings)
-    found = found.persist()  # an extractor may not give the same twice
-    verdicts = verdicts.persist()
+    found, _, contracts = audit(events, claims, settings=store.settings)
+    found = cut(found, "claims")  # an extractor may not give the same twice
+    verdicts = cut(evaluate(found, events), "verdicts")
     sessions = store.read("sessions", session_id).selectExpr("id as session_id")
     store.save_audit(found, verdicts, sessions)
     return found, verdicts, contracts
@@ -45,6 +42,7 @@ def audit_store(store: Store, session_id: str | None = None, claims: ClaimExtrac
 
 def run(spark: SparkSession, paths: str | list[str], settings: Redaction = Redaction()) -> dict[str, DataFrame]:
     """The whole way without a store."""
-    sessions, events = adapt(parse(lines(read_files(spark, paths))), settings)
+    sessions, events = adapt(cut(parse(lines(read_files(spark, paths))), "parsed"), settings)
+    events = cut(events, "events")
     claims, verdicts, contracts = audit(events, settings=settings)
     return {"sessions": sessions, "events": events, "claims": claims, "verdicts": verdicts, "contracts": contracts}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofline.functions.dictionaries import Redaction
 from proofline.operators.adapter import adapt
 from proofline.plans.audit import audit
+from proofline.scratch import cut
 from proofline.sources.transcripts import parse
 
 GATE = 0.95
@@ -26,8 +27,8 @@ def compare(manifest: DataFrame, claims: DataFrame, verdicts: DataFrame) -> Data
 def evaluate(mutants: DataFrame, manifest: DataFrame, settings: Redaction = Redaction()) -> DataFrame:
     """compare() for mutants (mutant_id, line, raw)."""
     rows = mutants.join(manifest.select("mutant_id"), "mutant_id", "left_semi")
-    _, events = adapt(parse(rows.select(F.concat(F.lit("/mutants/"), F.col("mutant_id"), F.lit(".jsonl")).alias("file"), "line", "raw")), settings)
-    events = events.withColumn("session_id", F.regexp_extract("file", r"^/mutants/(.*)\.jsonl$", 1)).persist()
+    _, events = adapt(cut(parse(rows.select(F.concat(F.lit("/mutants/"), F.col("mutant_id"), F.lit(".jsonl")).alias("file"), "line", "raw")), "parsed"), settings)
+    events = cut(events.withColumn("session_id", F.regexp_extract("file", r"^/mutants/(.*)\.jsonl$", 1)), "events")
     claims, verdicts, _ = audit(events, settings=settings)
     return compare(manifest, claims, verdicts)
 

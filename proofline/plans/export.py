@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from proofline.functions.dictionaries import Redaction
 from proofline.functions.redact import redact_with_count, residual_secrets, unmask
@@ -12,7 +13,7 @@ from proofline.packages import ship
 from proofline.sources.transcripts import is_json
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def valid_json(text):  # noqa: ANN001, ANN201
     """Strict JSON, which no function of Spark tests."""
     return text.map(is_json)

@@ -12,12 +12,14 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from proofline.functions.dictionaries import Redaction
 from proofline.operators.adapter import adapt
 from proofline.operators.claims import RuleClaims
 from proofline.packages import ship
 from proofline.schemas import CHECK_KINDS, EVIDENCE
+from proofline.scratch import cut
 from proofline.sources.transcripts import lines as split_lines
 from proofline.sources.transcripts import parse, strict_json
 
@@ -77,8 +79,8 @@ def _result(session: Column, cwd: Column, text: str, tool_id: Column, error: boo
 def edits(claims: DataFrame, events: DataFrame) -> DataFrame:
     """A row for each mutant: (session_id, operator, kind, report_line, deletes, rewrites, inserts, delta)."""
     report = events.where("type = 'report'").groupBy("session_id").agg(F.min_by(F.struct(F.col("evidence_tool_use_source_line").alias("report_line"), F.col("cwd").alias("report_cwd")), "seq").alias("r")).select("session_id", "r.*").where("report_line is not null")
-    made = candidates(claims, events).join(report, "session_id").persist()
-    free = unproven_kinds(report, events).join(report, "session_id").persist()
+    made = candidates(claims, events).join(report, "session_id")
+    free = unproven_kinds(report, events).join(report, "session_id")
     none, no_edits = F.array().cast("array<int>"), F.array().cast(f"array<{REWRITE}>")
     no_lines = F.array().cast("array<string>")
     session = F.col("session_id")
@@ -161,7 +163,7 @@ def rewritten(raw: str, how: str, arg: str | None) -> str | None:
     return json.dumps(found, separators=(",", ":"), ensure_ascii=False)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _rewrite(raw, how, arg):  # noqa: ANN001, ANN202
     """JSON rewriting that keeps the order of keys, which no function of Spark does."""
     import pandas as pd
@@ -189,15 +191,14 @@ def generate(files: DataFrame, settings: Redaction = Redaction()) -> tuple[DataF
     A mutant is kept if its number of lines changed as planned, its text changed, its report stands where it should, and the claim
     can be found there. target_claim_turn is the report's seq after the change.
     """
-    parsed = parse(split_lines(files))
-    _, events = adapt(parsed, settings)
-    events = events.persist()
-    claims = RuleClaims(settings).extract(events.where("type = 'report'")).persist()
-    rows = split_lines(files, r"\n").join(events.select("file", "session_id").distinct(), "file").select("session_id", "line", "raw").persist()
-    changes = edits(claims, events).withColumn("mutant_id", F.concat_ws("-", "session_id", "operator", "kind")).persist()
-    made = mutants(rows, changes.drop("mutant_id")).persist()
-    _, after = adapt(parse(made.select(F.concat(F.lit("/mutants/"), F.col("mutant_id"), F.lit(".jsonl")).alias("file"), "line", "raw").where("raw is not null")), settings)
-    after = after.withColumn("mutant_id", F.regexp_extract("file", r"^/mutants/(.*)\.jsonl$", 1)).persist()
+    _, events = adapt(cut(parse(split_lines(files)), "parsed"), settings)
+    events = cut(events, "events")
+    claims = cut(RuleClaims(settings).extract(events.where("type = 'report'")), "claims")
+    rows = cut(split_lines(files, r"\n").join(events.select("file", "session_id").distinct(), "file").select("session_id", "line", "raw"), "lines")
+    changes = cut(edits(claims, events).withColumn("mutant_id", F.concat_ws("-", "session_id", "operator", "kind")), "edits")
+    made = cut(mutants(rows, changes.drop("mutant_id")), "mutants")
+    _, after = adapt(cut(parse(made.select(F.concat(F.lit("/mutants/"), F.col("mutant_id"), F.lit(".jsonl")).alias("file"), "line", "raw").where("raw is not null")), "parsed"), settings)
+    after = cut(after.withColumn("mutant_id", F.regexp_extract("file", r"^/mutants/(.*)\.jsonl$", 1)), "events")
     reports = after.where("type = 'report'").select("mutant_id", "seq", "redacted_input", "cwd", F.col("evidence_tool_use_source_line").alias("found_line"))
     found = RuleClaims(settings).extract(reports.withColumnRenamed("mutant_id", "session_id")).select(F.col("session_id").alias("mutant_id"), "kind", F.col("turn").alias("target_claim_turn"))
     size = rows.groupBy("session_id").agg(F.count("*").alias("lines_before"))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from proofline.operators.adapter import adapt
 from proofline.plans.audit import audit
+from proofline.scratch import cut
 from proofline.sources.store import Store
 from proofline.sources.transcripts import lines, parse
 
@@ -21,14 +22,12 @@ def follow(store: Store, folder: str, checkpoint: str, audited: bool = True, fil
     files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file"), F.col("value").alias("content"))
 
     def put(batch: DataFrame, _: int) -> None:
-        parsed = parse(lines(batch)).persist()
-        sessions, events = (df.persist() for df in adapt(parsed, store.settings))
+        sessions, events = adapt(cut(parse(lines(batch)), "parsed"), store.settings)
+        sessions, events = cut(sessions, "sessions"), cut(events, "events")
         store.upsert(sessions, events, force=True)
         if audited:
             claims, verdicts, _ = audit(events, settings=store.settings)
-            store.save_audit(claims, verdicts, sessions.selectExpr("id as session_id"))
-        for df in (parsed, sessions, events):
-            df.unpersist()
+            store.save_audit(cut(claims, "claims"), cut(verdicts, "verdicts"), sessions.selectExpr("id as session_id"))
 
     writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -15,6 +15,7 @@ from proofline.operators.pairing import paired
 from proofline.operators.verdicts import evaluate
 from proofline.plans import audit, evaluate as evaluation, export, mutate, reports
 from proofline.schemas import EVIDENCE
+from proofline.scratch import cut
 from proofline.sources.store import Store, StoreError
 from proofline.sources.transcripts import is_json, lines, parse, read_files
 
@@ -48,7 +49,7 @@ def flow(spark, tmp_path_factory):
     (folder / "other.jsonl").write_text("\r\n".join(json.dumps(x | {"sessionId": ""}) for x in (say("hello", "user"), say("nothing"))))
     parsed = parse(lines(read_files(spark, f"{folder}/*.jsonl"))).persist()
     sessions, events = adapt(parsed)
-    return str(folder), sessions.persist(), events.persist()
+    return str(folder), cut(sessions), cut(events)
 
 
 def rows(df, *columns):
