@@ -192,7 +192,8 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     order = F.struct("doc", "th", "line")
     repeated = scratch.keep(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", "first"), "repeated")
     exact = lines.select("doc", "th", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(order != F.col("first")).select("doc", "th", "line", "h1", "h2")
-    halves = lines.select(F.explode("halves").alias("half"), "h1").repartition("half").sortWithinPartitions("half", "h1")
+    # copies of a line are one row before halves are dealt out
+    halves = lines.select(F.explode("halves").alias("half"), "h1").distinct().repartition("half").sortWithinPartitions("half", "h1")
     maybe = scratch.keep(halves.mapInArrow(_shared, "h1 long").distinct(), "maybe")
     # one row for each different line among them, numbered in the order of their first places
     firsts = lines.select("doc", "th", "line", "h1", "h2").join(maybe, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(order).alias("f"))
