@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of five words or more go if an earlier one is equal or one word's edit away; documents left without any text go."""
-    return line_dedup.drop_lines(docs, min_words=5)
+    """Lines go if an earlier one is equal or, from five words on, one word's edit away; documents left without any text go."""
+    return line_dedup.drop_lines(docs, min_words=5, exact_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

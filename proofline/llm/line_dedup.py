@@ -11,6 +11,7 @@ another line are put aside before variants are made; nothing is lost by that.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,14 @@ BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES)
 
 
+#: Characters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese. Each is a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def words_of(line: str) -> list[bytes]:
-    """The words between ASCII white space, A-Z in lower case."""
+    """The words between ASCII white space, A-Z in lower case; a character of UNSPACED is a word."""
+    if not line.isascii():
+        line = UNSPACED.sub(r" \g<0> ", line)
     return line.encode("utf-8", "surrogatepass").lower().split()
 
 
@@ -73,15 +80,15 @@ def mixed(h: np.ndarray, length: np.ndarray, tag: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, th, line, h1, h2, halves): every line of min_words words or more."""
+def _lines(docs: DataFrame, min_words: int, exact_words: int) -> DataFrame:
+    """(doc, th, line, h1, h2, halves): every line of exact_words words or more; halves are empty under min_words."""
 
     def columns(batch: pa.RecordBatch) -> dict:
         owner, number, lines = [], [], []
         for i, text in enumerate(batch.column("text")):
             for k, line in enumerate((text.as_py() or "").split("\n")):
                 words = words_of(line)
-                if len(words) >= min_words:
+                if len(words) >= exact_words:
                     owner.append(i)
                     number.append(k)
                     lines.append(words)
@@ -89,7 +96,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
         a, b, n = h.start, h.start + h.n, h.n
         half, less = n // 2, (n - 1) // 2
         keys = np.stack([mixed(h.run(a, a + half), half, 1), mixed(h.run(b - half, b), half, 2), mixed(h.run(a, a + less), less, 1), mixed(h.run(b - less, b), less, 2)], axis=1)
-        count = np.where(half == less, 2, 4)
+        count = np.where(n < min_words, 0, np.where(half == less, 2, 4))
         flat = keys[np.arange(4)[None, :] < count[:, None]]
         halves = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], count.cumsum())), pa.int32()), pa.array(flat))
         rows = np.array(owner, np.int64)
@@ -176,19 +183,21 @@ def _keyed(docs: DataFrame) -> list[Column]:
     return [order_key(F.col("doc_id")).alias("doc"), text_hash(text).alias("th"), text.alias("text")]
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """(doc, th, line, kind): the lines to drop, numbered from 0; kind is exact or near. doc and th are a row's key.
 
     Lines are in the order of doc_id (null last), a hash of the text, and their number. A line of min_words words or more is
     dropped if an earlier one is equal in its words (exact) or else has a word-level edit distance of 1 to it (near), whether or
-    not that one stays. Words are what stands between ASCII white space, A-Z in lower case. Shorter lines always stay. Repeated
-    rows have one key and are treated alike.
+    not that one stays. Words are what stands between ASCII white space, A-Z in lower case; a character of a script without
+    spaces is a word. Of shorter lines, those of exact_words words (min_words if not given) or more go if they are exact, the rest
+    stay. Repeated rows have one key and are treated alike.
     """
+    exact_words = min_words if exact_words is None else max(1, min(exact_words, min_words))
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "lines")
     keyed = docs.select(*_keyed(docs))
-    lines = scratch.keep(_lines(keyed, min_words), "lines")
+    lines = scratch.keep(_lines(keyed, min_words, exact_words), "lines")
     order = F.struct("doc", "th", "line")
     repeated = scratch.keep(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", "first"), "repeated")
     exact = lines.select("doc", "th", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(order != F.col("first")).select("doc", "th", "line", "h1", "h2")
@@ -227,12 +236,12 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return both.groupBy("doc", "th", "line").agg(F.min("kind").alias("kind"))
 
 
-def _by_row(docs: DataFrame, min_words: int) -> DataFrame:
-    drops = dropped_lines(docs, min_words)
+def _by_row(docs: DataFrame, min_words: int, exact_words: int | None) -> DataFrame:
+    drops = dropped_lines(docs, min_words, exact_words)
     return drops.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("line", "kind"))).alias("__drops"))
 
 
-def report(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def report(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_exact, n_near, dropped) for every row of docs: how many lines, how many go and why, and their numbers.
 
     dropped lists the numbers, from 0, in order and joined by commas. Null texts have no lines, an empty text has one; other
@@ -243,18 +252,18 @@ def report(docs: DataFrame, min_words: int = 5) -> DataFrame:
     rows = rows.withColumn("n_lines", F.when(F.col("th") == text_hash(F.lit(None).cast("string")), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
     drops = F.coalesce("__drops", F.array().cast("array<struct<line: int, kind: string>>"))
     of = lambda kind: F.size(F.filter(drops, lambda x: x["kind"] == kind)).cast("long")
-    joined = rows.join(_by_row(docs, min_words), ["doc", "th"], "left")
+    joined = rows.join(_by_row(docs, min_words, exact_words), ["doc", "th"], "left")
     return joined.select("doc_id", "n_lines", of("exact").alias("n_exact"), of("near").alias("n_near"), F.array_join(F.transform(drops, lambda x: x["line"].cast("string")), ",").alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def drop_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
     """docs with all its columns, without the lines of dropped_lines() in text.
 
     Rows of which no line with a word is left, but had one, go: all their lines stand in earlier rows. Null and empty texts stay.
     n_chars, where docs has it, counts the new text's characters if lines were dropped.
     """
     keys = [order_key(F.col("doc_id")).alias("__doc"), text_hash(F.col("text").cast("string")).alias("__th")]
-    drops = _by_row(docs, min_words).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "__drops")
+    drops = _by_row(docs, min_words, exact_words).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "__drops")
     joined = docs.select("*", *keys).join(drops, ["__doc", "__th"], "left")
 
     gone = F.transform("__drops", lambda x: x["line"])

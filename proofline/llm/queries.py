@@ -35,7 +35,7 @@ def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=5)
+    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=5, exact_words=1)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,13 @@ def test_lines_against_all_pairs(spark):
     assert line_dedup.drop_lines(docs).columns == docs.columns and line_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_lines(spark):
+    chinese = "\u6211\u4eec\u4eca\u5929\u53bb\u5b66\u6821"
+    rows = [(1, f"All rights reserved.\n\nLes.\n{chinese}"), (2, f"les.\nall  Rights reserved.\n\nall rights\n{chinese[:-1]}\u5bb6"), (3, chinese + "\n" + chinese[:3]), (4, chinese[:3])]
+    got = {r.doc_id: (r.n_exact, r.n_near, r.dropped) for r in line_dedup.report(documents(spark, rows), exact_words=1).collect()}
+    assert got == {1: (0, 0, ""), 2: (2, 1, "0,1,4"), 3: (1, 0, "0"), 4: (1, 0, "0")}
+
+
 # 5: SimHash
 
 
