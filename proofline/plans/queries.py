@@ -513,13 +513,18 @@ def mutate_unproven(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.unproven_kinds(events.select("session_id").distinct(), events.where("outcome_status = 'ok' and command_class <> 'composite'"))
 
 
-def _mutable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Claims and events with a report at the turn of each session's claims, its line after all others."""
+def _mutable(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Claims and events with a report at the turn of each session's claims, its line after all others.
+
+    The events are the first 22 of each session or, if whole, all of them; then a quarter of the sessions has no classed command.
+    """
     claims = derived(spark, sf_dir, "claims").where("kind in ('test_pass', 'lint_clean', 'build_ok') and turn is not null")
     events = derived(spark, sf_dir, "events").select("session_id", "seq", "type", "command_class", "suppressed", "outcome_status", "cwd", "evidence_tool_use_source_line", "evidence_tool_result_source_line", "evidence_tool_use_id")
     none = F.lit(None).cast("string")
     report = claims.select("session_id", "turn").distinct().select("session_id", F.col("turn").alias("seq"), F.lit("report").alias("type"), none.alias("command_class"), F.lit(False).alias("suppressed"), none.alias("outcome_status"), F.lit("/w/a").alias("cwd"), F.lit(9999).alias("evidence_tool_use_source_line"), F.lit(None).cast("int").alias("evidence_tool_result_source_line"), none.alias("evidence_tool_use_id"))
-    return claims, events.where("seq < 22").unionByName(report)
+    unclassed = F.substring("session_id", 2, 20).cast("long") % 4 == 0
+    events = events.withColumn("command_class", F.when(~unclassed, F.col("command_class"))) if whole else events.where("seq < 22")
+    return claims, events.unionByName(report)
 
 
 ONE_EACH = "list_position(['test_pass', 'lint_clean', 'build_ok'], kind)"
@@ -534,6 +539,7 @@ MUTABLE = CANDIDATES.replace("FROM d_events e JOIN", "FROM (SELECT * FROM d_even
   UNION ALL SELECT session_id, 'M6', arg_min(kind, {ONE_EACH}), 1 FROM cand WHERE n = 1 AND st[1] = 'ok' GROUP BY session_id
   UNION ALL SELECT session_id, 'M7', kind, 2 FROM free UNION ALL SELECT session_id, 'M8', kind, 4 FROM free WHERE kind = 'test_pass')
 """
+WHOLE = MUTABLE.replace("SELECT * FROM d_events WHERE seq < 22", "SELECT * REPLACE (CASE WHEN CAST(substring(session_id, 2) AS BIGINT) % 4 <> 0 THEN command_class END AS command_class) FROM d_events")
 
 
 @query(with_inputs(MUTABLE + "SELECT * FROM m", "claims", "events"))
@@ -550,6 +556,23 @@ def mutants_per_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.per_operator(mutate.edits(*_mutable(spark, sf_dir)))
 
 
+# the same over whole sessions
+
+
+@query(with_inputs(WHOLE + "SELECT * FROM m", "claims", "events"))
+def mutate_whole_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutate.edits(*_mutable(spark, sf_dir, whole=True)).select("session_id", "operator", "kind", "delta")
+
+
+for _op in mutate.OPERATORS:
+    query(with_inputs(WHOLE + f"SELECT session_id, kind, delta FROM m WHERE operator = '{_op}'", "claims", "events"), f"mutate_whole_{_op.lower()}")(lambda spark, sf_dir, op=_op: mutate.edits(*_mutable(spark, sf_dir, whole=True)).where(F.col("operator") == op).select("session_id", "kind", "delta"))
+
+
+@query(with_inputs(WHOLE + ", o AS (SELECT concat('M', i) AS operator FROM range(1, 9) t(i)) SELECT o.operator, count(m.session_id) AS n, count(m.session_id) < 3 AS short FROM o LEFT JOIN m USING (operator) GROUP BY o.operator", "claims", "events"))
+def mutants_per_operator_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutate.per_operator(mutate.edits(*_mutable(spark, sf_dir, whole=True)))
+
+
 @query()
 def mutate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.to_json(F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("s"), (F.col("event_id") % 100).cast("string")).alias("sessionId"), F.struct(F.col("command").alias("content")).alias("message")))

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from proofline.plans.derived import derived
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -30,6 +31,16 @@ def test_against_duckdb(spark, name):
     assert shown([tuple(r) for r in got.collect()], got.columns) == shown(cursor.fetchall(), columns)
 
 
+def test_mutants_of_whole_sessions(spark):
+    data = DATA.replace("0.001", "0.01")  # sessions longer than 22 events
+    events = derived(spark, data, "events").where("type = 'command' and not suppressed").select("session_id", "command_class").distinct().collect()
+    ran = {(s, c) for s, c in events if int(s[1:]) % 4}
+    kinds = {"test_pass": "test", "lint_clean": "lint", "build_ok": "build"}
+    unfounded = lambda name: [r for r in entry.queries()[name](spark, data).where("operator = 'M7'").collect() if ran & {(r.session_id, kinds[r.kind]), (r.session_id, "composite")}]
+    assert unfounded("mutate_plan") and not unfounded("mutate_whole_plan")
+    test_against_duckdb(spark, "mutate_whole_plan")
+
+
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
