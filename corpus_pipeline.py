@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm import decontam, langid, line_dedup, packing, simhash
+from proofline.llm import decontam, langid, line_dedup, packing, simhash, similar
 from proofline.llm.common import Scratch, crc_mod, table
 from proofline.llm.queries import tokenizer
 
@@ -27,8 +27,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose fingerprints link, the one with the smallest doc_id stays."""
-    return simhash.keep_first(docs, width=4, error=4)
+    """Of each component of documents whose fingerprints link, the one with the smallest doc_id stays; of those left, documents go
+    that share 80 percent or more of their five-word shingles with an earlier one."""
+    return similar.keep_unlike(simhash.keep_first(docs, width=4, error=4), width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

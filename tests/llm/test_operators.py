@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from proofline.llm import ann, decontam, html_text, langid, line_dedup, packing, quality, quotes, simhash, warc
+from proofline.llm import ann, decontam, html_text, langid, line_dedup, packing, quality, quotes, similar, simhash, warc
 from proofline.llm.queries import tokenizer
 
 DOCS = "doc_id long, text string, lang string, fp long, `group` string"
@@ -220,6 +220,24 @@ def test_trie_join_against_all_pairs(spread):
     assert (label == want).all()
 
 
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(12)
+    base = [prose(rng, rng.randint(3, 120)) for _ in range(30)]
+    rows = list(enumerate(base))
+    for i in range(60):  # a changed stretch, and words added or taken away
+        words = base[i % 30].split()
+        at, n = rng.randrange(len(words)), rng.randint(0, 12)
+        rows.append((100 + i, " ".join(words[:at] + prose(rng, n).split() + words[at + rng.randint(0, n) :])))
+    rows += [(200, None), (201, ""), (202, base[0].upper()), (None, base[1]), (203, base[2] + " tail")]
+    order = sorted({(10**9 if i is None else i, t) for i, t in rows}, key=lambda r: r[0])
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in order]
+    want = {i for k, (i, _) in enumerate(order) if not any(sets[k] and 10 * len(sets[k] & s) >= 8 * len(sets[k] | s) for s in sets[:k])}
+    docs = documents(spark, rows)
+    kept = similar.keep_unlike(docs)
+    assert kept.columns == docs.columns and sorted(10**9 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(want)
+    assert 20 < len(want) < len(order) - 20 and similar.keep_unlike(docs.limit(0)).count() == 0
+
+
 # 6: HTML
 
 
