@@ -41,7 +41,7 @@ class WuManber:
                 block, distance = pattern[end - self.block : end], m - end
                 if distance < self.shift.get(block, self.skip):
                     self.shift[block] = distance
-            self.buckets[pattern[m - self.block :]].append((pattern, sorted(items)))
+            self.buckets[pattern[m - self.block :]].append((pattern, list(items)))
 
     def search(self, words: list[bytes], hits: bytearray, items: set) -> None:
         """Marks the words inside occurrences and adds the items found."""
@@ -69,14 +69,14 @@ def patterns_of(items: list[tuple], window: int) -> list[WuManber]:
         words = words_of(text)
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
-            by_length[m][tuple(words[i : i + m])].add(str(item_id))
+            by_length[m][tuple(words[i : i + m])].add(None if item_id is None else str(item_id))
     return [WuManber(m, patterns) for m, patterns in sorted(by_length.items())]
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with __n_words, __n_hit and __items, by a map over each block of patterns; no row moves between tasks."""
     prepare(docs.sparkSession)
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    items = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     columns = docs.columns
@@ -104,7 +104,7 @@ def _searcher(found: list[tuple], window: int, last: bool) -> Callable[[pa.Recor
             out["__n_words2"].append(len(words))
             out["__n_hit2"].append(sum(hits))
             out["__hits2"].append(bytes(hits) if items and not last else None)
-            out["__items2"].append(sorted(items))
+            out["__items2"].append(sorted(items - {None}) + [None] * (None in items))
         return out
 
     return columns
@@ -116,8 +116,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     A window is `window` consecutive words of an item; an item with fewer words, but not none, is one window. n_hit counts words
     inside any occurrence; items are the item_ids (as strings, sorted) with occurring windows; contaminated: some words are hit,
     and they are at least `percent` percent of the words. Null and empty texts have no words and are clean. Null, empty and
-    wordless items have no windows, nor has an item with a null id; rows of an item_id that repeats count as one item. Repeated
-    documents each get their row; an empty table gives none. Other columns are not read.
+    wordless items have no windows; rows of an item_id that repeats count as one item, as do those of a null id, which is last in
+    items. Repeated documents each get their row; an empty table gives none. Other columns are not read.
     """
     found = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, block_bytes)
     return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__items").alias("items"), _contaminated(percent).alias("contaminated"))

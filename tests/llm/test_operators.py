@@ -387,3 +387,18 @@ def test_decontamination_against_all_windows(spark, block_bytes):
     kept = decontam.drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(w[0] for w in want if not w[4])
     assert decontam.contamination(docs.limit(0), benchmark).count() == 0 and decontam.contamination(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_of_items_without_id_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from proofline.llm import queries
+
+    spark.createDataFrame([(1, "a b c"), (2, "x y"), (3, "b c; x y"), (4, "q")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "x y"), (None, "b c"), (7, "b c"), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.op10_decontamination(spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(queries.ORACLES["op10_decontamination"]).fetchall())
+    assert [(r[0], r[2], r[3], r[5]) for r in got] == [(1, 2, 2, True), (2, 2, 1, True), (3, 4, 2, True), (4, 0, 0, False)]
