@@ -1,10 +1,12 @@
-"""Texts with an earlier one at a Jaccard similarity of word shingles, found by prefixes and verified exactly.
-
-Shingles are put into one order for all texts, those frequent in a sample last. Two sets of similarity t or more share one of the
-first |set| - ceil(t |set|) + 1 shingles of each, so texts that share none of these are put aside, and nothing is lost by that,
-whatever the order. Of the others, pairs go if their sizes or the parity bitmaps of their sets tell that too much differs: sets
-differ in no fewer elements than their bitmaps do in bits. The rest is compared shingle by shingle. Each text first meets only its earliest
-candidate of a shingle, and the others only if that one is not similar, so a large group of near copies is not compared in pairs.
+"""Texts with an earlier one at a Jaccard similarity of word shingles, found by shared shingles and verified exactly.
+
+Of a text that is similar to another by t or more, no more than (1 - t) of the shingles are missing in that one. So a text of which
+more are in no other text is put aside, and nothing is lost by that. Shared ones are counted over the shingles in a fixed part of the
+hash range, the same for all texts; those frequent in a sample are known to be shared and never move. Of the texts that are left, two
+of similarity t share one of the first |set| - ceil(t |set|) + 1 shingles of each, in any order that is the same for all. Pairs that
+meet in one go if their sizes or the parity bitmaps of their sets tell that too much differs: sets differ in no fewer elements than
+their bitmaps do in bits. A text is then compared with that of the closest bitmap, and with all others only if that one is not
+similar, so a large group of near copies does not leave its task in pairs.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import Scratch, map_batches, prepare
-from proofline.llm.line_dedup import Hashes, _keyed, _shared, mixed, words_of
+from proofline.llm.common import Scratch, fresh, map_batches, prepare
+from proofline.llm.line_dedup import Hashes, _keyed, mixed, words_of
 
 #: Bits of a shingle's hash in the order, of a bitmap, and pairs compared at a time.
-HASH, BITS, PAIRS = 40, 1024, 1 << 16
+HASH, BITS, PAIRS = 50, 1024, 1 << 16
 #: Documents in the sample, and shingles of it that come last in the order.
 SAMPLE, FREQUENT = 20_000, 100_000
+#: In texts of more than WHOLE shingles, the shared ones are counted over this share of the hashes.
+SHARE, WHOLE = 0.4, 64
+#: What a shingle's row says instead of a number: it counts, or it is there for others only.
+COUNTED, SENT = -1, -2
 
 
 def shingle_sets(texts: list[list[bytes]], width: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sets of the texts' shingles in their order: (owner, shingle) and each set's size."""
+    """The sets of the texts' shingles in their order: (owner, shingle) and each set's size. frequent: sorted; last in the order."""
     h = Hashes(texts)
     wide = np.minimum(h.n, width)
     count = np.where(h.n > 0, h.n - wide + 1, 0)
@@ -36,9 +42,11 @@ def shingle_sets(texts: list[list[bytes]], width: int, frequent: np.ndarray) ->
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
         key |= (frequent[at] == key).astype(np.uint64) << np.uint64(HASH)
-    both = np.unique((owner.astype(np.uint64) << np.uint64(HASH + 1)) | key)
-    owner = (both >> np.uint64(HASH + 1)).astype(np.int64)
-    return owner, (both & np.uint64((2 << HASH) - 1)).astype(np.int64), np.bincount(owner, minlength=len(texts))
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    return owner[once], key[once].view(np.int64), np.bincount(owner[once], minlength=len(texts))
 
 
 def similar(a: list[bytes], b: list[bytes], width: int, percent: int) -> bool:
@@ -51,8 +59,42 @@ def _words(column: pa.Array) -> list[list[bytes]]:
     return [words_of(t.as_py() or "") for t in column]
 
 
-def _pairs(percent: int, earliest: bool):  # noqa: ANN202
-    """Of rows sorted by (key, id): pairs (id, earlier) that sizes and bitmaps do not rule out, for rows not done."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, th): (th, n) that add up to a text's counted shingles that are shared, less those it needs.
+
+    A row with a need of 0 or more stands for its text and has a key of its own. Needs no more than the last row.
+    """
+    held: list[np.ndarray] | None = None
+    before = False  # whether the held row's key is that of the row before it
+
+    def out(th: np.ndarray, need: np.ndarray, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = np.where(need >= 0, -need.astype(np.int64), shared & (need == COUNTED))
+        some = (n != 0) | (need >= 0)
+        th, at = np.unique(th[some], return_inverse=True)
+        if len(th):
+            yield pa.RecordBatch.from_arrays([pa.array(th), pa.array(np.bincount(at, n[some]).astype(np.int64))], names=["th", "n"])
+
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "th", "need")]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        once = np.ones(len(rows[0]), bool)
+        once[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        key, th, need = (x[once] for x in rows)
+        same = key[1:] == key[:-1]
+        shared = np.concatenate(([before], same)) | np.concatenate((same, [False]))
+        yield from out(th[:-1], need[:-1], shared[:-1])
+        held, before = [key[-1:], th[-1:], need[-1:]], bool(same[-1]) if len(same) else before
+    if held is not None:
+        yield from out(held[1], held[2], np.array([before]))
+
+
+def _pairs(percent: int, closest: bool):  # noqa: ANN202
+    """Of rows sorted by (key, id): pairs (id, earlier, apart) that sizes and bitmaps do not rule out, for rows not done.
+
+    apart: by how many bits the bitmaps differ, for a thousand of the sizes' sum. closest: only the earlier row with the smallest.
+    """
 
     def of(key: np.ndarray, ids: np.ndarray, size: np.ndarray, bits: np.ndarray, done: np.ndarray) -> Iterator[pa.RecordBatch]:
         row = np.arange(len(key))
@@ -69,29 +111,34 @@ def _pairs(percent: int, earliest: bool):  # noqa: ANN202
             ok = (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])) & (ids[x] != ids[y])
             x, y, both = x[ok], y[ok], both[ok]
             # sets of similarity t differ in at most (1 - t) / (1 + t) of their sizes' sum
-            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (100 - percent) * both
-            x, y = x[ok], y[ok]
-            if earliest and len(x):
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = differ * (100 + percent) <= (100 - percent) * both
+            x, y, apart = x[ok], y[ok], 1000 * differ[ok] // both[ok]
+            if closest and len(x):
+                order = np.lexsort((y, apart, x))
+                x, y, apart = x[order], y[order], apart[order]
                 x, one = np.unique(x, return_index=True)
-                y = y[one]
+                y, apart = y[one], apart[one]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["id", "earlier"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(apart)], names=["id", "earlier", "apart"])
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             new = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "size")), bits, batch.column("done").to_numpy(zero_copy_only=False)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # whole groups only: the last may go on
-            if cut:
-                yield from of(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None:
-            yield from of(*held)
+            cut = int(np.searchsorted(new[0], new[0][-1])) if last is None or new[0][-1] != last else 0
+            if cut or (held and new[0][0] != last):  # whole groups only: the last may go on
+                yield from of(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in new], strict=True)))
+                held, new = [], [x[cut:] for x in new]
+            held.append(new)
+            last = new[0][-1]
+        if held:
+            yield from of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -116,17 +163,26 @@ def keep_unlike(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     sample = keyed.where(F.pmod(F.xxhash64("th"), F.lit(share)) == 0).dropDuplicates(["th"]).select("text")
     often = map_batches(sample, counted, "key long").groupBy("key").count().where("count > 3").orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["key"] for r in often], np.uint64))
+    part = int(SHARE * (1 << HASH))
 
-    def prefixes(batch: pa.RecordBatch) -> dict:
+    def sent(batch: pa.RecordBatch) -> dict:
         owner, key, size = shingle_sets(_words(batch.column("text")), width, frequent)
-        rank = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
-        early = rank <= size[owner] - -(-percent * size[owner] // 100)
-        return {"half": key[early], "h1": batch.column("th").to_numpy()[owner[early]]}
-
-    def meet(keys: DataFrame) -> DataFrame:
-        return keys.repartition("half").sortWithinPartitions("half", "h1").mapInArrow(_shared, "h1 long").distinct()
-
-    maybe = scratch.keep(meet(map_batches(keyed.select("th", "text"), prefixes, "half long, h1 long")).withColumnRenamed("h1", "th"), "maybe")
+        th = batch.column("th").to_numpy()
+        known, of = key >= 1 << HASH, size[owner]
+        inside = (key & ((1 << HASH) - 1)) < part
+        count = inside | (of <= WHOLE)
+        # of those counted, as many as may be missing in a similar text need not be shared
+        need = np.bincount(owner[count], minlength=len(size)) - (100 - percent) * size // 100 - np.bincount(owner[count & known], minlength=len(size))
+        go = ~known & (inside | (of * percent <= WHOLE * 100))  # all of a text that could be similar to one that counts all
+        some = np.flatnonzero(size > 0)
+        return {
+            "key": np.concatenate((key[go], th[some] | np.int64(-(1 << 63)))), "th": np.concatenate((th[owner[go]], th[some])),
+            "need": np.concatenate((np.where(count[go], COUNTED, SENT), np.maximum(need[some], 0))).astype(np.int32),
+        }
+
+    rows = map_batches(keyed.select("th", "text"), sent, "key long, th long, need int")
+    counts = rows.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_counts, "th long, n long")
+    maybe = scratch.keep(counts.groupBy("th").agg(F.sum("n").alias("n")).where("n >= 0").select("th"), "maybe")
     firsts = scratch.keep(keyed.groupBy("th").agg(F.min("doc").alias("doc")), "firsts")
     ranged = firsts.join(maybe, "th", "left_semi").repartitionByRange("doc", "th").sortWithinPartitions("doc", "th")
     numbered = scratch.keep(ranged.withColumn("id", F.monotonically_increasing_id()), "numbered")
@@ -137,7 +193,7 @@ def keep_unlike(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         bits = np.zeros((len(size), BITS), np.uint8)
         np.bitwise_xor.at(bits, (owner, key % BITS), 1)
         rank = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
-        early = rank <= size[owner] - -(-percent * size[owner] // 100)
+        early = rank <= (100 - percent) * size[owner] // 100
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.bincount(owner[early], minlength=len(size)).cumsum())), pa.int32()), pa.array(key[early]))
         return {"id": batch.column("id"), "size": size, "bits": [x.tobytes() for x in np.packbits(bits, axis=1)], "keys": keys}
 
@@ -153,14 +209,16 @@ def keep_unlike(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         rows = dealt.join(sketches.select("id", "size", "bits"), "id")
         rows = rows.withColumn("done", F.lit(False)) if done is None else rows.join(done.withColumn("done", F.lit(True)), "id", "left").fillna(False, ["done"])
         sorted_rows = rows.select("key", "id", "size", "bits", "done").repartition("key").sortWithinPartitions("key", "id")
-        pairs = sorted_rows.mapInArrow(_pairs(percent, done is None), "id long, earlier long").distinct()
+        pairs = sorted_rows.mapInArrow(_pairs(percent, done is None), "id long, earlier long, apart long")
+        pairs = pairs.groupBy("id").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")) if done is None else pairs.select("id", "earlier").distinct()
         with_texts = pairs.join(texts, "id").join(texts.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
         return map_batches(with_texts.select("id", "text", "other"), verify, "id long").distinct()
 
     one = scratch.keep(found(None), "one")
-    near = scratch.keep(one.union(found(one)), "near")
-    gone = numbered.join(near, "id", "left_semi").select(F.col("th").alias("__th"))
-    stay = firsts.select(F.col("doc").alias("__doc"), F.col("th").alias("__th")).join(gone, "__th", "left_anti")
+    near = scratch.keep(numbered.join(one.union(found(one)), "id", "left_semi").select("th"), "near")
+    scratch.drop(maybe, numbered, texts, sketches, dealt, one)
+    doc_name, th_name = fresh(docs, "doc", "th")
+    stay = firsts.join(near, "th", "left_anti").select(F.col("doc").alias(doc_name), F.col("th").alias(th_name))
     doc, th, _ = _keyed(docs)
-    kept = docs.select("*", doc.alias("__doc"), th.alias("__th")).join(stay, ["__doc", "__th"], "left_semi")
-    return kept.dropDuplicates(["__doc", "__th"]).select(*docs.columns)
+    kept = docs.select("*", doc.alias(doc_name), th.alias(th_name)).join(stay, [doc_name, th_name], "left_semi")
+    return kept.dropDuplicates([doc_name, th_name]).select(*docs.columns)
