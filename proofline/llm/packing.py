@@ -20,107 +20,120 @@ from pyspark.sql import functions as F
 from proofline.llm.common import Scratch, map_batches, prepare
 
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_500_000
 #: Pieces in a group, about.
 GROUP_PIECES = 20_000
+#: Bytes of text, and new words, that are handled together.
+TEXT_BYTES, STEMS = 1 << 18, 256
 
-
-#: A word of Latin letters (those that normalisation leaves alone) and the marks after it, if any.
-WORD = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-class _Known(dict):
-    """Ids of words; words that are looked up in vain have none, and are noted."""
-
-    def __init__(self) -> None:
-        self.missed: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> bytes:
-        self.missed.append(word)
-        return b""
+#: ASCII marks, but for the apostrophe, with which a token group may begin that holds letters.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin letters that normalisation leaves alone, but for their case.
+LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+#: First bytes of the combining marks that A to Z are composed with: before the letters are made small.
+COMBINING = (b"\xcc", b"\xcd")
 
 
 class Ids:
-    """Token ids as little-endian unsigned 32-bit bytes, by the tokenizers library, with the ids of frequent words kept.
+    """Token ids as little-endian unsigned 32-bit bytes, by the tokenizers library, with the ids of words kept.
 
     The tokenizer's normalisation and splitting never reach across white space, so a text's ids are those of its words between
-    ASCII white space, and lower-casing A-Z first changes nothing. A word of letters is one token group, as are the marks after
-    it. Words of Latin letters are encoded many in one call, without the steps that change nothing in them, and told apart by the
-    ids that end a word; all others go through the whole tokenizer.
+    ASCII white space. Lower-casing A-Z first changes nothing, but in words with combining marks, which stay as they are. A word
+    of letters is one token group, as are the marks after it. Words of Latin letters are encoded many in one call, without the
+    steps that change nothing in them, and told apart by the ids that end a word; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer, self.ascii, self.latin = (Tokenizer.from_file(path) for _ in range(3))
+        self.ascii.normalizer = self.latin.normalizer = None
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # bytes under 128 stand for themselves
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = sorted(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known = _Known()
+        self.known: dict[bytes, bytes] = {}
+        self.odd: set[bytes] = set()  # words known that are not of LETTERS
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        stems: dict[bytes, str] = {}
-        parts, other = {}, set()
-        for word in words:
-            found = WORD.fullmatch(word.decode("utf-8", "replace"))
-            if not found:
-                other.add(word)
-                continue
-            stem, marks = found.groups()
-            key = stem.encode()
-            if key not in self.known:
-                stems[key] = stem.lower()
-            if marks:
-                parts[word] = key, marks.encode()
-                if parts[word][1] not in self.known:
-                    other.add(parts[word][1])
-        keys = list(stems)
-        for at in range(0, len(keys), 4096):
-            some = keys[at : at + 4096]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(stems[k] for k in some)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def learn_letters(self, tokenizer, words: list[bytes], texts: list[str]) -> None:  # noqa: ANN001
+        for at in range(0, len(words), STEMS):
+            some = texts[at : at + STEMS]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             data = ids.tobytes()
-            if len(ends) == len(some):
-                self.known.update((k, data[a:b]) for k, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+            cut = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) == len(some) else map(self.plain, some)
+            self.known.update(zip(words[at : at + STEMS], cut, strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        known, whole, marked = self.known, set(), []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if len(stem) == len(word):
+                whole.add(word)
+            elif stem:
+                marked.append((word, stem, word[len(stem) :]))
+                whole.add(stem)
+                whole.add(marked[-1][2])
             else:
-                self.known.update((k, self.plain(stems[k])) for k in some)
-        rest = list(other)
+                whole.add(word)
+        whole = whole.difference(known)  # difference_update() would go through all that is known
+        ascii_words, latin, other = [], [], set()
+        for word, text in zip(whole, b"\n".join(whole).decode("utf-8", "replace").split("\n") if whole else (), strict=True):
+            if not LETTERS.fullmatch(text):
+                other.add(word)
+            elif len(text) == len(word):
+                ascii_words.append(word)
+            else:
+                latin.append(word)
+        self.learn_letters(self.ascii, ascii_words, [w.decode() for w in ascii_words])
+        self.learn_letters(self.latin, latin, [w.decode().lower() for w in latin])
+        # after another stem, marks may belong to a group that began before them
+        rest = [*other, *(w for w, stem, _ in marked if stem in other or stem in self.odd)]
+        self.odd |= other
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for word, (key, marks) in parts.items():
-            self.known[word] = self.known[key] + self.known[marks]
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known.update((w, known[stem] + known[marks]) for w, stem, marks in marked if stem not in self.odd)
+
+    def words_of(self, text: str | None) -> list[bytes] | bytes:
+        """The keys of a text's words; or its ids if it holds an added token's own text."""
+        data = text.encode("utf-8", "replace") if text else b""
+        if any(c in data for c in COMBINING):
+            return [w if any(c in w for c in COMBINING) else w.lower() for w in data.split()] if not self.is_special(data) else self.plain(text)
+        data = data.lower()
+        return self.plain(text) if self.is_special(data) else data.split()
+
+    def is_special(self, data: bytes) -> bool:
+        return b"<|" in data and any(s in data.lower() for s in self.special)
+
+    def joined(self, texts: list[list[bytes] | bytes]) -> list[bytes]:
+        # each different word is looked up once in all that is known, and then in this small part of it
+        words = set().union(*(words for words in texts if isinstance(words, list)))
+        part = dict(zip(words, map(self.known.get, words), strict=True))
+        new = [word for word, ids in part.items() if ids is None]
+        if new:
+            self.learn(new)
+            part.update(zip(new, map(self.known.__getitem__, new), strict=True))
+        ids_of = part.__getitem__
+        return [words if isinstance(words, bytes) else b"".join(map(ids_of, words)) for words in texts]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        out, later = [], {}
-        missed, look_up = self.known.missed, self.known.__getitem__
-        missed.clear()
-        for i, text in enumerate(texts):
-            data = text.encode("utf-8", "replace").lower() if text else b""
-            if b"<|" in data and any(s in data for s in self.special):  # an added token's own text: no words to keep
-                out.append(self.plain(text))
-                continue
-            words, before = data.split(), len(missed)
-            ids = list(map(look_up, words))
-            if len(missed) > before:
-                later[i] = words, ids
-            out.append(b"".join(ids))
-        if missed:
-            self.learn(set(missed))
-            for i, (words, ids) in later.items():
-                for k, part in enumerate(ids):
-                    if not part:
-                        ids[k] = look_up(words[k])
-                out[i] = b"".join(ids)
-        return out
+            self.odd.clear()
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(self.words_of(text))
+            size += len(text or "")
+            if size >= TEXT_BYTES:
+                out += self.joined(some)
+                some, size = [], 0
+        return out + self.joined(some)
 
 
 _IDS: dict[str, Ids] = {}
