@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import add_columns, prepare
+from proofline.llm.common import Scratch, add_columns, fresh, prepare
 
 #: Every byte that is not in a word becomes a space: all of ASCII but digits and letters.
 WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
 #: Bytes of benchmark text in one block of patterns.
 BLOCK_BYTES = 4 << 20
+#: Blocks whose patterns a task holds together.
+CHAIN = 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -35,13 +37,14 @@ class WuManber:
         self.m, self.block = m, min(2, m)
         self.skip = m - self.block + 1
         self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, list[tuple[tuple, list]]] = defaultdict(list)
+        # of each last block, the patterns that end in it; a pattern's hash picks it, and comparing its words confirms it
+        self.buckets: dict[tuple, dict[tuple, list]] = defaultdict(dict)
         for pattern, items in patterns.items():
             for end in range(self.block, m + 1):
                 block, distance = pattern[end - self.block : end], m - end
                 if distance < self.shift.get(block, self.skip):
                     self.shift[block] = distance
-            self.buckets[pattern[m - self.block :]].append((pattern, list(items)))
+            self.buckets[pattern[m - self.block :]][pattern] = list(items)
 
     def search(self, words: list[bytes], hits: bytearray, items: set) -> None:
         """Marks the words inside occurrences and adds the items found."""
@@ -53,12 +56,10 @@ class WuManber:
             if step:
                 end += step
                 continue
-            window = None
-            for pattern, owners in self.buckets[key]:
-                window = window or tuple(words[end - m : end])
-                if window == pattern:
-                    hits[end - m : end] = b"\x01" * m
-                    items.update(owners)
+            owners = self.buckets[key].get(tuple(words[end - m : end]))
+            if owners:
+                hits[end - m : end] = b"\x01" * m
+                items.update(owners)
             end += 1
 
 
@@ -74,38 +75,45 @@ def patterns_of(items: list[tuple], window: int) -> list[WuManber]:
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __n_words, __n_hit and __items, by a map over each block of patterns; no row moves between tasks."""
-    prepare(docs.sparkSession)
-    items = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """docs with all its columns and, last, n_words, n_hit and items (names that docs has get underscores after them).
+
+    Each block of patterns is a map over the rows, which do not move between tasks. After every CHAIN maps the rows are written,
+    so that the patterns a task holds are bounded whatever the benchmark's size.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    scratch = Scratch(spark, "decontam")
+    found = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    total = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     columns = docs.columns
-    out = docs.select("*", F.lit(None).cast("binary").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
+    names = fresh(docs, "n_words", "n_hit", "items", "hits", "n_words_new", "n_hit_new", "items_new", "hits_new")
+    now, new = names[:4], names[4:]
+    out = docs.select("*", F.lit(None).cast("array<string>").alias(now[2]), F.lit(None).cast("binary").alias(now[3]))
     for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = [(r[0], r[1]) for r in block.collect()]  # one block, of bounded size
-        out = add_columns(out, _searcher(found, window, b == blocks - 1), "__n_words2 long, __n_hit2 long, __hits2 binary, __items2 array<string>")
-        out = out.select(*columns, *(F.col(f"{c}2").alias(c) for c in ("__hits", "__items", "__n_words", "__n_hit")))
-    return out.drop("__hits")
+        block = found if blocks == 1 else found.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        patterns = sorted(((r[0], r[1]) for r in block.collect()), key=lambda x: (x[0] is None, str(x[0]), x[1]))  # one block, of bounded size
+        out = add_columns(out, _searcher(patterns, window, b == blocks - 1, now[2:], new), f"{new[0]} long, {new[1]} long, {new[2]} array<string>, {new[3]} binary")
+        out = out.select(*columns, *(F.col(c).alias(n) for n, c in zip(now, new, strict=True)))
+        if b % CHAIN == CHAIN - 1 and b < blocks - 1:
+            out = scratch.keep(out, "block")
+    return out.drop(now[3])
 
 
-def _searcher(found: list[tuple], window: int, last: bool) -> Callable[[pa.RecordBatch], dict]:
+def _searcher(patterns: list[tuple], window: int, last: bool, known: list[str], new: list[str]) -> Callable[[pa.RecordBatch], dict]:
     made: list[list[WuManber]] = []
 
     def columns(batch: pa.RecordBatch) -> dict:
         if not made:
-            made.append(patterns_of(found, window))
-        out: dict[str, list] = {"__n_words2": [], "__n_hit2": [], "__hits2": [], "__items2": []}
-        for text, before, known in zip(*(batch.column(c) for c in ("text", "__hits", "__items")), strict=True):
+            made.append(patterns_of(patterns, window))
+        rows = []
+        for text, items, before in zip(batch.column("text"), *(batch.column(c) for c in known), strict=True):
             words = words_of(text.as_py())
-            hits, items = bytearray(before.as_py() or bytes(len(words))), set(known.as_py() or ())
+            hits, found = bytearray(before.as_py() or bytes(len(words))), set(items.as_py() or ())
             for searcher in made[0]:
-                searcher.search(words, hits, items)
-            out["__n_words2"].append(len(words))
-            out["__n_hit2"].append(sum(hits))
-            out["__hits2"].append(bytes(hits) if items and not last else None)
-            out["__items2"].append(sorted(items - {None}) + [None] * (None in items))
-        return out
+                searcher.search(words, hits, found)
+            rows.append((len(words), sum(hits), sorted(found - {None}) + [None] * (None in found), bytes(hits) if found and not last else None))
+        return dict(zip(new, map(list, zip(*rows, strict=True)), strict=True))
 
     return columns
 
@@ -120,13 +128,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     items. Repeated documents each get their row; an empty table gives none. Other columns are not read.
     """
     found = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, block_bytes)
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__items").alias("items"), _contaminated(percent).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "items", _contaminated("n_words", "n_hit", percent).alias("contaminated"))
 
 
-def _contaminated(percent: int) -> Column:
-    return (F.col("__n_hit") > 0) & (F.col("__n_hit") * 100 >= F.col("__n_words") * percent)
+def _contaminated(n_words: str, n_hit: str, percent: int) -> Column:
+    return (F.col(n_hit) > 0) & (F.col(n_hit) * 100 >= F.col(n_words) * percent)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    return annotate(docs, benchmark, window).where(~_contaminated(percent)).select(*docs.columns)
+    found = annotate(docs, benchmark, window)
+    n_words, n_hit = found.columns[-3:-1]
+    return found.where(~_contaminated(n_words, n_hit, percent)).select(*docs.columns)

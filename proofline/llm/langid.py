@@ -14,14 +14,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.common import add_columns, prepare
+from proofline.llm.common import add_columns, fresh, prepare
 
+#: A letter, or one of the few other signs that regular expressions count as parts of words.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by Unicode; numerals such as \u00b2, \u00bd and \u2167 are none."""
+    found = LETTER.search(text)
+    return bool(found) and (found.group().isalpha() or any(map(str.isalpha, text)))
+
+
 @dataclass
 class Network:
     """Weights: for each width an array [offset, byte, filter]; then the dense layer."""
@@ -120,24 +127,27 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], widths: tup
 
 
 def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = 1500, windows_per_doc: int = 4, window: int = 128, most_langs: int = 200) -> Network | None:
-    """Train on a bounded sample of the rows with a text, a non-null lang and a true `learn`: about per_lang documents of each
-    language, chosen by a hash of the text, and windows_per_doc windows spread over each. None if there is no such row.
+    """Train on a bounded sample of the rows with a text, a non-null lang and a true `learn`: at most per_lang different documents
+    of each language, chosen by a hash of the text, and windows_per_doc windows spread over each. None if there is no such row.
 
-    More than most_langs languages are an error, for the sample would not be bounded.
+    Of more than most_langs languages, the most frequent are learned (of equally frequent ones, those first in order). The same
+    rows give the same network, however they are dealt to tasks.
     """
     rows = docs.where("lang is not null and text is not null and length(trim(text)) > 0")
     rows = rows if learn is None else rows.where(learn)
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(most_langs + 1).collect()}
-    if len(counts) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     langs = sorted(counts)
     rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))])
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * (1 << 30))
+    mark = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 30))
+    chosen = rows.where(F.col("lang").isin(langs) & (mark < F.try_element_at(rate, F.col("lang")) * (1 << 30)))
     cuts = [F.substring("text", F.greatest(F.lit(1), (F.length("text") - window) * i / max(1, windows_per_doc - 1)).cast("int"), F.lit(window)) for i in range(windows_per_doc)]
-    sample = chosen.select("lang", F.array(*cuts).alias("cuts")).limit(2 * per_lang * len(langs)).collect()
-    encoded = [(langs.index(r[0]), as_bytes(c)[:window]) for r in sample for c in set(r[1]) if c and LETTER.search(c)]
+    # copies of a document are one, so that they push out no other
+    once = chosen.select("lang", mark.alias("mark"), F.array(*cuts).alias("cuts")).distinct()
+    quota = once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "cuts"))).where(F.col("n") <= per_lang)
+    sample = sorted(quota.select("lang", "mark", "cuts").collect())
+    encoded = [(langs.index(r["lang"]), as_bytes(c)[:window]) for r in sample for c in dict.fromkeys(r["cuts"]) if c and has_letter(c)]
     if not encoded:
         return None
     x = np.frombuffer(b"".join(b.ljust(window, b"\0") for _, b in encoded), np.uint8).reshape(-1, window)
@@ -148,11 +158,11 @@ def as_bytes(text: str) -> bytes:
     return text.encode("utf-8", "replace").lower().replace(b"\0", b" ")
 
 
-def predictor(net: Network | None) -> Callable[[pa.RecordBatch], dict]:
+def predictor(net: Network | None, lang_name: str, score_name: str) -> Callable[[pa.RecordBatch], dict]:
     def columns(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        rows = [i for i, t in enumerate(texts) if net and t and LETTER.search(t)]
+        rows = [i for i, t in enumerate(texts) if net and t and has_letter(t)]
         at = 0
         while at < len(rows):  # texts of some MB together
             size, end = 0, at
@@ -163,21 +173,25 @@ def predictor(net: Network | None) -> Callable[[pa.RecordBatch], dict]:
             for i, k, score in zip(rows[at:end], p.argmax(axis=1), p.max(axis=1), strict=True):
                 langs[i], scores[i] = net.langs[k], float(score)
             at = end
-        return {"__lang_pred": langs, "__score": scores}
+        return {lang_name: langs, score_name: scores}
 
     return columns
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with all its columns, __lang_pred and __score (0 to 1).
+    """docs with all its columns and, last, __lang_pred and __score (0 to 1).
 
+    Where docs has such columns, the new ones have underscores after their names until none has them.
     Every byte of a text counts. A text that is null or has no letter is `und` with score 0, as is every text if nothing was
     learned. Repeated rows get equal results; an empty table gives no rows. Only text is read.
     """
     prepare(docs.sparkSession)
-    return add_columns(docs, predictor(net), "__lang_pred string, __score double")
+    lang, score = fresh(docs, "__lang_pred", "__score")
+    return add_columns(docs, predictor(net, lang, score), f"{lang} string, {score} double")
 
 
 def drop_unidentified(docs: DataFrame, net: Network | None, min_score: float = 0.3) -> DataFrame:
     """The rows of docs whose language is identified: not `und`, and with a score of min_score or more."""
-    return predict(docs, net).where((F.col("__lang_pred") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)
+    found = predict(docs, net)
+    lang, score = found.columns[-2:]
+    return found.where((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import Scratch, map_batches, order_key, prepare, text_hash
+from proofline.llm.common import Scratch, fresh, map_batches, order_key, prepare, text_hash
 
 #: Odd bases of the polynomial hashes modulo 2**64, and their inverses.
 BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -236,9 +236,9 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None =
     return both.groupBy("doc", "th", "line").agg(F.min("kind").alias("kind"))
 
 
-def _by_row(docs: DataFrame, min_words: int, exact_words: int | None) -> DataFrame:
+def _by_row(docs: DataFrame, min_words: int, exact_words: int | None, names: tuple[str, str, str] = ("doc", "th", "drops")) -> DataFrame:
     drops = dropped_lines(docs, min_words, exact_words)
-    return drops.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("line", "kind"))).alias("__drops"))
+    return drops.groupBy(F.col("doc").alias(names[0]), F.col("th").alias(names[1])).agg(F.array_sort(F.collect_list(F.struct("line", "kind"))).alias(names[2]))
 
 
 def report(docs: DataFrame, min_words: int = 5, exact_words: int | None = None) -> DataFrame:
@@ -248,9 +248,9 @@ def report(docs: DataFrame, min_words: int = 5, exact_words: int | None = None)
     cases are as in dropped_lines(). An empty table gives no rows. Other columns are not read.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order_key(F.col("doc_id")).alias("doc"), text_hash(text).alias("th"), F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.when(F.col("th") == text_hash(F.lit(None).cast("string")), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    drops = F.coalesce("__drops", F.array().cast("array<struct<line: int, kind: string>>"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order_key(F.col("doc_id")).alias("doc"), text_hash(text).alias("th"), n_lines.alias("n_lines"))
+    drops = F.coalesce("drops", F.array().cast("array<struct<line: int, kind: string>>"))
     of = lambda kind: F.size(F.filter(drops, lambda x: x["kind"] == kind)).cast("long")
     joined = rows.join(_by_row(docs, min_words, exact_words), ["doc", "th"], "left")
     return joined.select("doc_id", "n_lines", of("exact").alias("n_exact"), of("near").alias("n_near"), F.array_join(F.transform(drops, lambda x: x["line"].cast("string")), ",").alias("dropped"))
@@ -262,13 +262,15 @@ def drop_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None = No
     Rows of which no line with a word is left, but had one, go: all their lines stand in earlier rows. Null and empty texts stay.
     n_chars, where docs has it, counts the new text's characters if lines were dropped.
     """
-    keys = [order_key(F.col("doc_id")).alias("__doc"), text_hash(F.col("text").cast("string")).alias("__th")]
-    drops = _by_row(docs, min_words, exact_words).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "__drops")
-    joined = docs.select("*", *keys).join(drops, ["__doc", "__th"], "left")
+    doc, th, drops, new = fresh(docs, "doc", "th", "drops", "new")
+    keys = [order_key(F.col("doc_id")).alias(doc), text_hash(F.col("text").cast("string")).alias(th)]
+    joined = docs.select("*", *keys).join(_by_row(docs, min_words, exact_words, (doc, th, drops)), [doc, th], "left")
 
-    gone = F.transform("__drops", lambda x: x["line"])
+    gone = F.transform(drops, lambda x: x["line"])
     left = F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    new = joined.withColumn("__new", text).where(F.col("__drops").isNull() | F.col("__new").rlike(r"\S"))
-    columns = {"text": F.col("__new")} | ({"n_chars": F.when(F.col("__drops").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return new.withColumns(columns).select(*docs.columns)
+    same = F.col(drops).isNull()
+    out = joined.withColumn(new, F.when(same, F.col("text")).otherwise(F.array_join(left, "\n"))).where(same | F.col(new).rlike(r"\S"))
+    changed = {"text": F.col(new)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])

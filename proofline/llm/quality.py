@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import add_columns, map_batches, prepare
+from proofline.llm.common import add_columns, fresh, map_batches, prepare
 
 KINDS = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": (32, 9), "newline": (10, 13), "stop": b".,;:", "mark": b"!?", "quote": b"'\"()-", "symbol": b"#$%&*+/<=>@[\\]^_`{|}~", "control": (*range(9), 11, 12, *range(14, 32), 127), "high": range(128, 256)}
 KIND = np.zeros((256, len(KINDS)))
@@ -105,26 +105,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30)).limit(2 * sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows of 12 bytes
     found = map_batches(rows, lambda b: {"quality": b.column("quality"), "x": [features(t.as_py()) for t in b.column("text")]}, "quality int, x array<double>")
-    got = found.limit(4 * sample).collect()
+    got = sorted(found.limit(4 * sample).collect())  # the same sample gives the same model, however it came
     y = np.array([r[0] for r in got], np.int64)
     if not (y == 1).any() or not (y == 0).any():
         return None
     return train(np.array([r[1] for r in got]), y)
 
 
-def scorer(model: BradleyTerry | None, threshold: float) -> Callable[[pa.RecordBatch], dict]:
+def scorer(model: BradleyTerry | None, threshold: float, name: str) -> Callable[[pa.RecordBatch], dict]:
     def columns(batch: pa.RecordBatch) -> dict:
         x = np.array([features(t.as_py()) for t in batch.column("text")])
-        return {"__score": model.score(x, threshold) if model else np.full(len(x), threshold)}
+        return {name: model.score(x, threshold) if model else np.full(len(x), threshold)}
 
     return columns
 
 
 def score(docs: DataFrame, model: BradleyTerry | None, threshold: float = 0.3) -> DataFrame:
-    """docs with all its columns and __score, 0 to 1, from the whole text alone.
+    """docs with all its columns and, last, __score, 0 to 1, from the whole text alone.
 
+    Where docs has a column __score, the new one has underscores after its name until none has it.
     Null and empty texts have all features zero and are scored by them. Without a model every score is the threshold. Repeated
     rows get equal scores; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    return add_columns(docs, scorer(model, threshold), "__score double")
+    (name,) = fresh(docs, "__score")
+    return add_columns(docs, scorer(model, threshold, name), f"{name} double")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import Scratch, connected, map_batches, order_key, prepare, text_hash
+from proofline.llm.common import Scratch, connected, fresh, map_batches, order_key, prepare, text_hash
 
 #: Pairs of nodes followed at a time, and the number of member pairs from which two nodes are compared outright.
 FRONTIER, SMALL = 1 << 19, 48
@@ -165,7 +165,7 @@ def keep_first(docs: DataFrame, width: int = 4, error: int = 4) -> DataFrame:
     Ties of a doc_id go to the smaller hash of the text; of rows equal in both, one stays.
     """
     _, classes = _classes(docs, width, error)
-    stay = classes.where("first = component_first").select(F.col("first.id").alias("__id"), F.col("first.text").alias("__text"))
-    key = [order_key(F.col("doc_id")).alias("__id"), text_hash(F.col("text").cast("string")).alias("__text")]
-    kept = docs.select("*", *key).join(stay, ["__id", "__text"], "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    names = fresh(docs, "id", "hash")
+    stay = classes.where("first = component_first").select(F.col("first.id").alias(names[0]), F.col("first.text").alias(names[1]))
+    key = [order_key(F.col("doc_id")).alias(names[0]), text_hash(F.col("text").cast("string")).alias(names[1])]
+    return docs.select("*", *key).join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)

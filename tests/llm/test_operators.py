@@ -26,6 +26,38 @@ def prose(rng, n, vocabulary=400):
     return " ".join(f"w{rng.randint(0, vocabulary)}" for _ in range(n))
 
 
+# columns named as the operators' own
+
+CLASHES = ("doc", "TH", "drops", "new", "id", "hash", "key", "line", "h1", "h2", "kind", "__score", "__LANG_PRED", "__score_", "n_words", "N_hit", "items", "hits", "n_words_new", "n_hit_new", "items_new", "hits_new", "fp", "first", "component", "n", "need", "size", "bits", "done")
+
+
+def clashing(docs):
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES if c.lower() not in {x.lower() for x in docs.columns}])
+
+
+def test_own_names_of_columns_do_not_matter(spark):
+    rng = random.Random(21)
+    rows = [(i, f"{prose(rng, 60)}\n{prose(rng, 40)}") for i in range(30)]
+    rows += [(50, rows[0][1]), (51, rows[1][1].split("\n")[0]), (52, "12 34"), (53, None), (54, ""), (55, rows[2][1] + " tail")]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2], len(t or "")) for i, t in rows], "doc_id long, text string, lang string, n_chars int")
+    benchmark = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    net, model = langid.fit(docs), quality.fit(docs, labels)
+    stages = {
+        "language": lambda d: langid.drop_unidentified(d, net), "predict": lambda d: langid.predict(d, net), "lines": line_dedup.drop_lines, "first": simhash.keep_first, "unlike": similar.keep_unlike,
+        "clean": lambda d: decontam.drop_contaminated(d, benchmark), "annotate": lambda d: decontam.annotate(d, benchmark), "quality": lambda d: quality.score(d, model),
+    }
+    for name, stage in stages.items():
+        plain, other = stage(docs), stage(clashing(docs))
+        added = len(plain.columns) - len(docs.columns)
+        assert other.columns[: len(other.columns) - added] == clashing(docs).columns and len(set(map(str.lower, other.columns))) == len(other.columns), name
+        where = [0, 1, 2, 3, *range(len(other.columns) - added, len(other.columns))]
+        rows_of = lambda found, at: sorted(str([r[i] for i in at]) for r in found.collect())
+        assert rows_of(other, where) == rows_of(plain, range(len(plain.columns))) and other.count() > 20, name
+        own = other.select(clashing(docs).columns[4:]).distinct().collect()
+        assert len(own) == 1 and all(str(v).startswith("own ") for v in own[0]), name
+
+
 # 1: quality
 
 
@@ -253,6 +285,42 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+LONG = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="layout has-sidebar"><article><p>Text of it</p></article></div>', "Text of it"),
+        ('<form id="aspnetForm"><article><p>In a form</p></article></form>', "In a form"),
+        ("<article><p title=it's>Some text here</p><p>More</p></article>", "Some text here\nMore"),
+        ('<article><p>Real text <span class="promo">here</p><p>Next</p></article>', "Real text\nNext"),
+        ('<article><p>A paragraph <span class="share">SHARE THIS</span> goes on</p></article>', "A paragraph goes on"),
+        ("<html><head><title>x</title><body><article>no end of head</article>", "no end of head"),
+        (f"<form><p>{LONG}</p><p>{LONG}</p></form>", f"{LONG}\n{LONG}"),
+        (f"<article>a</article><div id=post-comments><p>{LONG}</p><article>{LONG}</article></div>", "a"),
+        (f"<main><p>a</p><aside>{LONG}</aside><form><p>{LONG}</p></form><p>b</main>", "a\nb"),
+        (f"<div><p>{LONG}</p><p>short</p><p>{LONG}</p></div><ul><li><a href=/>x</a></ul>", f"{LONG}\nshort\n{LONG}"),
+        ('<article data-x="a>b" class=\'c>d\' checked>kept <i title="</article>">too</i></article>', "kept too"),
+        ("<article>" + "<b>" * 3000 + "deep" + "</b>" * 3000 + "</x>" * 3000 + "</article>", "deep"),
+        (f"<article><p>{LONG}</p><p>b</p></article><div>A notice, {LONG}</div>", f"{LONG}\nb"),
+        (f"<article>teaser</article><div><p>{LONG}</p><p>{LONG}</p></div>", f"teaser\n{LONG}\n{LONG}"),
+        ("<article><div hidden>no</div><div style='display: none'>no</div>yes</article>", "yes"),
+        ("<article>1 < 2 &amp;&lt; 3 <! x>4<", "1 < 2 &< 3 4<"),
+    ],
+)
+def test_html_cases(page, want):
+    assert html_text.main_text(page, html_text.trained()) == want
+
+
+def test_html_tree_over_all_shapes():
+    tree = html_text.trained()
+    shapes = [(w, d, pw, pd, nw, nd) for w in (1, 4, 15, 50, 300) for d in (0.0, 0.2, 0.45) for pw in (0, 10, 60) for pd in (0.0, 1.0) for nw in (0, 10, 60) for nd in (0.0, 1.0)]
+    assert all(html_text.is_main(tree, (*x, html_text.IN_MAIN)) and not html_text.is_main(tree, (*x, html_text.NONE)) for x in shapes)
+    for zone in (html_text.BESIDE_MAIN, html_text.OPEN):
+        assert {html_text.is_main(tree, (*x, zone)) for x in shapes} == {True, False}
+
+
 # 7: WARC
 
 
@@ -339,6 +407,9 @@ def test_language(spark):
     got = {r.doc_id: (r["__lang_pred"], r["__score"]) for r in langid.predict(docs, net).collect()}
     held = [i for i in range(180) if i % 4 == 2]
     assert sum(got[i][0] == list(sounds)[i % 3] for i in held) >= 0.95 * len(held)
+    assert {langid.has_letter(t) for t in ("\u00bd \u00b2", "\u2167 \u2460", "12 _", "")} == {False} and langid.has_letter("\u00bd \u00e9")
+    assert np.array_equal(langid.fit(docs.repartition(7), F.col("doc_id") % 4 != 2).dense, net.dense)
+    assert langid.fit(docs, most_langs=2).langs == ["aa", "bb"]
     assert got[500] == got[501] == got[502] == ("und", 0.0) and got[503][0] == "aa" and got[None][0] == "bb"
     kept = langid.drop_unidentified(docs, net)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
