@@ -19,28 +19,44 @@ from pyspark.sql import functions as F
 
 from proofline.llm.common import Scratch, map_batches, prepare
 
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 1_500_000
+#: Units whose ids a Python worker keeps, and slots of the table that finds them.
+CACHE_UNITS, SLOT_BITS = 2_000_000, 22
 #: Pieces in a group, about.
 GROUP_PIECES = 20_000
-#: Bytes of text, and new words, that are handled together.
-TEXT_BYTES, STEMS = 1 << 18, 256
+#: Bytes of text, and new units, that are handled together.
+TEXT_BYTES, STEMS = 1 << 20, 256
+#: Units of more bytes are hashed one by one.
+LONG = 255
 
-#: ASCII marks, but for the apostrophe, with which a token group may begin that holds letters.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Latin letters that normalisation leaves alone, but for their case.
 LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
-#: First bytes of the combining marks that A to Z are composed with: before the letters are made small.
+#: First bytes of the combining marks that A to Z are composed with, which comes before letters are made small.
 COMBINING = (b"\xcc", b"\xcd")
+#: Classes of bytes: white space, letters, digits, marks, and others, next to which no unit begins or ends.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+CLASS = np.full(256, OTHER, np.uint8)
+for _bytes, _class in ((b" \t\n\r\x0b\x0c", SPACE), (bytes(range(97, 123)), LETTER), (bytes(range(48, 58)), DIGIT), (b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", MARK)):
+    CLASS[list(_bytes)] = _class
+_CUT = np.array([[a != b or a == DIGIT for b in range(5)] for a in range(5)])
+_CUT[OTHER, 1:] = _CUT[1:, OTHER] = False
+#: By the classes of two bytes in a row: whether a unit ends between them, and whether one begins.
+ENDS, STARTS = _CUT.copy(), _CUT.copy()
+ENDS[SPACE, :] = STARTS[:, SPACE] = False
+#: Bases of the hash modulo 2**64, and a number for each byte.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 class Ids:
-    """Token ids as little-endian unsigned 32-bit bytes, by the tokenizers library, with the ids of words kept.
-
-    The tokenizer's normalisation and splitting never reach across white space, so a text's ids are those of its words between
-    ASCII white space. Lower-casing A-Z first changes nothing, but in words with combining marks, which stay as they are. A word
-    of letters is one token group, as are the marks after it. Words of Latin letters are encoded many in one call, without the
-    steps that change nothing in them, and told apart by the ids that end a word; all others go through the whole tokenizer.
+    """Token ids, by the tokenizers library, with the ids of units of text kept in arrays.
+
+    The tokenizer's normalisation and splitting never reach across white space, nor across the places between letters, digits and
+    marks (apostrophes but for): there a token group always ends. So a text's ids are those of its units between such places.
+    Lower-casing A-Z first changes nothing but in texts with combining marks, which go through the whole tokenizer, as do texts
+    that hold an added token's own text. Units are found by a 64-bit hash in an open table, all of a batch at once; new ones are
+    encoded many in one call: those of Latin letters without the steps that change nothing in them, told apart by the ids that
+    end a word, all others by the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -53,87 +69,146 @@ class Ids:
         self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = sorted(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.odd: set[bytes] = set()  # words known that are not of LETTERS
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn_letters(self, tokenizer, words: list[bytes], texts: list[str]) -> None:  # noqa: ANN001
-        for at in range(0, len(words), STEMS):
-            some = texts[at : at + STEMS]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data = ids.tobytes()
-            cut = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) == len(some) else map(self.plain, some)
-            self.known.update(zip(words[at : at + STEMS], cut, strict=True))
-
-    def learn(self, words: list[bytes]) -> None:
-        known, whole, marked = self.known, set(), []
-        for word in words:
-            stem = word.rstrip(MARKS)
-            if len(stem) == len(word):
-                whole.add(word)
-            elif stem:
-                marked.append((word, stem, word[len(stem) :]))
-                whole.add(stem)
-                whole.add(marked[-1][2])
-            else:
-                whole.add(word)
-        whole = whole.difference(known)  # difference_update() would go through all that is known
-        ascii_words, latin, other = [], [], set()
-        for word, text in zip(whole, b"\n".join(whole).decode("utf-8", "replace").split("\n") if whole else (), strict=True):
-            if not LETTERS.fullmatch(text):
-                other.add(word)
-            elif len(text) == len(word):
-                ascii_words.append(word)
-            else:
-                latin.append(word)
-        self.learn_letters(self.ascii, ascii_words, [w.decode() for w in ascii_words])
-        self.learn_letters(self.latin, latin, [w.decode().lower() for w in latin])
-        # after another stem, marks may belong to a group that began before them
-        rest = [*other, *(w for w, stem, _ in marked if stem in other or stem in self.odd)]
-        self.odd |= other
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        known.update((w, known[stem] + known[marks]) for w, stem, marks in marked if stem not in self.odd)
-
-    def words_of(self, text: str | None) -> list[bytes] | bytes:
-        """The keys of a text's words; or its ids if it holds an added token's own text."""
-        data = text.encode("utf-8", "replace") if text else b""
-        if any(c in data for c in COMBINING):
-            return [w if any(c in w for c in COMBINING) else w.lower() for w in data.split()] if not self.is_special(data) else self.plain(text)
-        data = data.lower()
-        return self.plain(text) if self.is_special(data) else data.split()
-
-    def is_special(self, data: bytes) -> bool:
-        return b"<|" in data and any(s in data.lower() for s in self.special)
-
-    def joined(self, texts: list[list[bytes] | bytes]) -> list[bytes]:
-        # each different word is looked up once in all that is known, and then in this small part of it
-        words = set().union(*(words for words in texts if isinstance(words, list)))
-        part = dict(zip(words, map(self.known.get, words), strict=True))
-        new = [word for word, ids in part.items() if ids is None]
-        if new:
-            self.learn(new)
-            part.update(zip(new, map(self.known.__getitem__, new), strict=True))
-        ids_of = part.__getitem__
-        return [words if isinstance(words, bytes) else b"".join(map(ids_of, words)) for words in texts]
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.odd.clear()
-        out, some, size = [], [], 0
-        for text in texts:
-            some.append(self.words_of(text))
-            size += len(text or "")
-            if size >= TEXT_BYTES:
-                out += self.joined(some)
-                some, size = [], 0
-        return out + self.joined(some)
+        self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.numbers = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.first, self.count, self.store = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.n_units = self.n_ids = 0
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def units(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of the units of data, which begins and ends with white space."""
+        import xxhash
+
+        buffer = np.frombuffer(data, np.uint8)
+        kind = CLASS[buffer]
+        lead = np.flatnonzero((buffer >= 0xC3) & (buffer <= 0xC5))
+        code = buffer[lead].astype(np.int32) * 256 + buffer[lead + 1]
+        lead = lead[(code != 0xC397) & (code != 0xC3B7) & (code != 0xC4B0) & (code != 0xC5BF)]  # two signs, and letters that change
+        kind[lead] = kind[lead + 1] = LETTER
+        pair = kind[:-1] * np.uint8(5) + kind[1:]
+        start, end = np.flatnonzero(STARTS.ravel()[pair]) + 1, np.flatnonzero(ENDS.ravel()[pair]) + 1
+        if len(self.powers) < len(buffer):
+            self.powers, self.inverses = (np.concatenate(([np.uint64(1)], np.full(max(len(buffer), TEXT_BYTES) + 64, x))).cumprod(dtype=np.uint64) for x in (BASE, INVERSE))
+        sums = np.empty(len(buffer) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(VALUE[buffer] * self.powers[: len(buffer)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64) * BASE
+        for i in np.flatnonzero(end - start > LONG):
+            h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return start, end, np.maximum(h ^ (h >> np.uint64(29)), np.uint64(1))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the units with these hashes; -1 for new ones."""
+        out, todo, slot = np.full(len(h), -1, np.int32), np.arange(len(h)), (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == h
+            out[todo[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, h, slot = todo[on], h[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """New units: their different hashes, how many ids each has, and all the ids."""
+        n, more = self.n_units + len(h), self.n_ids + len(ids)
+        if n > len(self.first):
+            self.first, self.count = (np.concatenate((x, np.zeros(max(n, len(x)), x.dtype))) for x in (self.first, self.count))
+        if more > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros(max(more, len(self.store)), np.uint32)))
+        self.first[self.n_units : n], self.count[self.n_units : n] = self.n_ids + np.cumsum(counts) - counts, counts
+        self.store[self.n_ids : more] = ids
+        number, slot = np.arange(self.n_units, n), (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.n_units, self.n_ids = n, more
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            put = free[np.unique(slot[free], return_index=True)[1]]  # one for each free slot
+            self.keys[slot[put]], self.numbers[slot[put]] = h[put], number[put]
+            on = np.ones(len(h), bool)
+            on[put] = False
+            h, number, slot = h[on], number[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+
+    def learn(self, units: list[bytes], h: np.ndarray) -> None:
+        texts = b"\n".join(units).decode("utf-8", "replace").split("\n")
+        kinds: tuple[list[int], list[int], list[int]] = [], [], []
+        for i, text in enumerate(texts):
+            kinds[(0 if len(text) == len(units[i]) else 1) if LETTERS.fullmatch(text) else 2].append(i)
+        for tokenizer, some in ((self.ascii, kinds[0]), (self.latin, kinds[1])):
+            for at in range(0, len(some), STEMS):
+                few = some[at : at + STEMS]
+                words = [texts[i].lower() for i in few]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+                last = np.flatnonzero(self.word_ends[ids])
+                if len(last) == len(few):
+                    self.add(h[few], np.diff(last, prepend=-1), ids)
+                else:
+                    kinds[2].extend(few)
+        if kinds[2]:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in kinds[2]], add_special_tokens=False)]
+            self.add(h[kinds[2]], np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
+
+    def joined(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each part, all of them in lower case."""
+        data = b"\n" + b"\n".join(parts) + b"\n"
+        start, end, h = self.units(data)
+        number = self.find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            keys, one = np.unique(h[new], return_index=True)
+            one = new[one]
+            self.learn([data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)], keys)
+            number[new] = self.find(h[new])
+        counts = self.count[number].astype(np.int64)
+        after = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.store[np.repeat(self.first[number] - after[:-1], counts) + np.arange(after[-1])]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        cuts = after[np.searchsorted(start, np.concatenate(([0], np.cumsum(sizes))) + 1)].tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text. A text of more than TEXT_BYTES is taken in parts that end at a space."""
+        if self.n_units > CACHE_UNITS - (CACHE_UNITS >> 2):
+            self.clear()
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts: list[bytes] = []
+        owners: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for owner, ids in zip(owners, self.joined(parts), strict=True):
+                out[owner].append(ids)
+            parts.clear()
+            owners.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            data = text.encode("utf-8", "replace") if text else b""
+            small = data.lower()
+            if any(c in data for c in COMBINING) or (b"<|" in data and any(s in small for s in self.special)):
+                out[i].append(self.plain(data.decode()))
+                continue
+            at = 0
+            while at < len(small):
+                end = len(small)
+                if end - at > TEXT_BYTES:
+                    end = small.rfind(b" ", at, at + TEXT_BYTES) + 1 or small.find(b" ", at + TEXT_BYTES) + 1 or end
+                parts.append(small[at:end])
+                owners.append(i)
+                size += end - at
+                at = end
+                if size >= TEXT_BYTES:
+                    flush()
+        if parts:
+            flush()
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.uint32), *x]) for x in out]
 
 
 _IDS: dict[str, Ids] = {}
@@ -142,18 +217,17 @@ _IDS: dict[str, Ids] = {}
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids, with end_id after them, cut into full sequences and a rest."""
     prepare(docs.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def columns(batch: pa.RecordBatch) -> dict:
         if tokenizer not in _IDS:
             _IDS[tokenizer] = Ids(tokenizer)
         out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), _IDS[tokenizer].of(batch.column("text").to_pylist()), strict=True):
-            ids += end
-            n = len(ids) // 4
+            ids = np.append(ids, end_id).astype("<u4")
+            n = len(ids)
             for at in range(0, n, size):
-                cut = ids[4 * at : 4 * (at + size)]
-                for name, value in (("doc_id", doc_id), ("start", at), ("length", len(cut) // 4), ("ids_crc32", zlib.crc32(cut)), ("doc_tokens", n)):
+                cut = ids[at : at + size]
+                for name, value in (("doc_id", doc_id), ("start", at), ("length", len(cut)), ("ids_crc32", zlib.crc32(cut)), ("doc_tokens", n)):
                     out[name].append(value)
         return out
 

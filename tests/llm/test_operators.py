@@ -395,6 +395,21 @@ def test_packing(spark):
     assert packing.pack(documents(spark, rows).limit(0), tokenizer()).count() == 0
 
 
+def test_ids_equal_the_plain_tokenizers():
+    from tokenizers import Tokenizer
+
+    plain, ids, rng = Tokenizer.from_file(tokenizer()), packing.Ids(tokenizer()), random.Random(30)
+    signs = [*"aZsteT9 0.,'\"-$<|>_\u201c\u201d\u00e9\u00c9\u00d7\u00f7\u0130\u0131\u0149\u017f\u00df\u0307\u030c\u0308\u0331\u030a\u0345\u1ab0\u20dd\x1c\x85\u00a0\u2028\ufb01\u4e2d\u0e01\u0661\u00bd\U0001f600\x00\n\t", "'s", "'ll", "J\u030c", "H\u0331", "Stra\u00dfe ", "d\u00e9j\u00e0,", "\ud800"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += [None, "", " ", "x" * 3000 + "," + "y" * 300, "J\u030c T\u0308 H\u0331 W\u030a Y\u030a", "<|StartOfText|> a<|endoftext|>", "word " * 300_000, "a" * 30_000 + "1" * 5_000, "no-space" * 2_000]
+    want = [plain.encode((t or "").encode("utf-8", "replace").decode(), add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ids.of(texts)] == want
+    again = list(reversed(texts))
+    assert [x.tolist() for x in ids.of(again)] == want[::-1]
+    ids.clear()
+    assert [x.tolist() for t in texts[:50] for x in ids.of([t])] == want[:50]
+
+
 # 9: language
 
 
