@@ -113,6 +113,31 @@ def test_ann_recall_ties_and_copies(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_ann_deep_trees_search_less_than_all(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(5000, 16))
+    x[:1200] = x[0] + 1e-4 * rng.normal(size=(1200, 16))  # no tree parts these, so their leaves are dealt to several tasks
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    got = {}
+    for r in ann.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0, k=20, cell_rows=200).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    stored = x.astype(np.float32).astype(np.float64)
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert len({v for _, v, _ in found}) == 20 and all(abs(stored[v] @ stored[q] - s) < 1e-9 for _, v, s in found)
+        hits += sum(s >= np.sort(scores[q])[-20] - 1e-5 for _, _, s in found)
+    assert len(got) == 250 and hits / 5000 >= 0.9
+    norm = (x * x).sum(axis=1).max()
+    forest = ann.plant(ann._lift(x, norm), 10, 9)
+    leaves = forest.leaves(ann._lift(x, norm))
+    forest.sizes = np.stack([np.concatenate((np.zeros(1 << forest.top), np.bincount(leaves[:, t] >> (9 - forest.top), minlength=1 << forest.top))) for t in range(10)])
+    visits = [forest.visit(np.append(x[q] / np.linalg.norm(x[q]) * np.sqrt(norm), 0).astype(np.float32), ann.budget(5000), 0.4) for q in range(2000, 2050)]
+    assert all(len(set(v)) == len(v) for v in visits)
+    assert np.mean([sum((leaves[:, t] == leaf).sum() for t, leaf in v) for v in visits]) < 0.9 * 5000
+
+
 def test_ann_small_tables(spark):
     three = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0])]
     got = [tuple(r) for r in ann.search(vectors(spark, three), F.col("vec_id") == 0).orderBy("rank").collect()]
