@@ -42,6 +42,41 @@ def js(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out).replace("[\\S\\s]", "(?s:.)").replace(f"[{SPACE}[^{SPACE}]]", "(?s:.)")
 
 
+def required(pattern: str) -> list[str]:
+    """Literals of which every match of the pattern contains one at least; empty if that can't be told."""
+    from re import _constants as op
+    from re import _parser as parser
+
+    def of(items) -> list[str]:  # noqa: ANN001
+        found, run = [], ""
+        for kind, value in [*items, (None, None)]:
+            if kind is op.LITERAL:
+                run += chr(value)
+                continue
+            found.append([run] if run else [])
+            run, more = "", []
+            if kind is op.SUBPATTERN:
+                more = of(value[-1])
+            elif kind is op.MAX_REPEAT and value[0] > 0:
+                more = of(value[2])
+            elif kind is op.BRANCH:
+                each = [of(x) for x in value[1]]
+                more = [x for part in each for x in part] if all(each) else []
+            found.append(more)
+        return max(found, key=lambda x: (min(map(len, x), default=0), -len(x)))
+
+    return of(parser.parse(pattern))
+
+
+def may_match(text: Column, lower: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Whether the text, or its small letters, holds what every match contains: much cheaper than to match."""
+    words = required(pattern.lower() if ignore_case else pattern)
+    out = F.lit(not words)
+    for word in words:
+        out = out | F.contains(lower if ignore_case else text, F.lit(word))
+    return out
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions.clauses import clause_at, path_tokens, split_clauses
 from proofline.functions.dictionaries import Redaction
-from proofline.functions.patterns import js, match_spans, trim
+from proofline.functions.patterns import js, match_spans, may_match, trim
 from proofline.functions.redact import redact
 
 
@@ -56,14 +56,25 @@ def _around(text: Column, span: Column, width: int) -> Column:
     return F.substring(text, start + 1, span["end"] + width - start)
 
 
+def _first_match(text: Column, lower: Column, rule: int) -> Column:
+    """A struct of the rule's number, kind and subtype and the span of its first match that no negation turns round; else null.
+
+    The pattern is a literal, so that it is compiled once, and spans are only taken of texts that match.
+    """
+    kind, pattern, ignore_case, subtype = RULES[rule]
+    compiled = F.lit(js(pattern, ignore_case))
+    spans = match_spans(text, compiled)
+    kept = spans if subtype else F.filter(spans, lambda s: ~F.rlike(_around(text, s, GUARD), F.lit(js(NEGATION, True))))
+    found = F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.lit(subtype).cast("string").alias("subtype"), F.get(kept, F.lit(0)).alias("span"))
+    return F.when(may_match(text, lower, pattern, ignore_case) & F.rlike(text, compiled), found)
+
+
 def matched(reports: DataFrame) -> DataFrame:
-    """reports with rule (number), kind, scope_subtype and span of each rule's first match that no negation turns round."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"), F.lit(js(p, c)).alias("pattern"), F.lit(s).cast("string").alias("subtype")) for i, (k, p, c, s) in enumerate(RULES)])
-    tried = reports.where("redacted_input is not null and redacted_input <> ''").withColumn("r", F.explode(rules)).where(F.rlike("redacted_input", F.col("r.pattern")))
-    spans = match_spans(F.col("redacted_input"), F.col("r.pattern"))
-    kept = F.filter(spans, lambda s: F.col("r.subtype").isNotNull() | ~F.rlike(_around(F.col("redacted_input"), s, GUARD), F.lit(js(NEGATION, True))))
-    found = tried.withColumn("span", F.get(kept, F.lit(0))).where("span is not null")
-    return found.select(*reports.columns, "r.rule", "r.kind", "r.subtype", "span")
+    """reports with rule (number), kind, subtype and span of each rule's first match that no negation turns round."""
+    text = F.col("redacted_input")
+    some = reports.where("redacted_input is not null and redacted_input <> ''").withColumn("lower", F.lower(text))
+    found = F.array_compact(F.array(*[_first_match(text, F.col("lower"), i) for i in range(len(RULES))]))
+    return some.withColumn("r", F.explode(found)).where("r.span is not null").select(*reports.columns, "r.rule", "r.kind", "r.subtype", "r.span")
 
 
 class RuleClaims:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions.clauses import clause_at, path_tokens, split_clauses
 from proofline.functions.dictionaries import Redaction
-from proofline.functions.patterns import js, match_spans, trim
+from proofline.functions.patterns import js, match_spans, may_match, trim
 from proofline.functions.redact import redact
 
 
@@ -34,16 +34,19 @@ OBLIGATIONS = [
 SCOPES = [(r"担当[:：]\s*([^\n]+)", False), (r"\bscope[:：]\s*([^\n]+)", True), (r"\bassigned[:：]\s*([^\n]+)", True)]
 
 
-def _clauses_of(instructions: DataFrame, rules: Column) -> DataFrame:
-    """(session_id, seq, rule, pos, kind, clause text) of every match of every rule."""
+def _clauses_of(instructions: DataFrame, rules: list[tuple[str | None, str, bool]]) -> DataFrame:
+    """(session_id, seq, rule, pos, kind, clause) of every match of every rule; the patterns are literals, compiled once."""
     text = F.col("redacted_input")
-    tried = instructions.where("redacted_input is not null and redacted_input <> ''").withColumn("r", F.explode(rules)).where(F.rlike(text, F.col("r.pattern")))
-    spans = tried.withColumn("clauses", split_clauses(text)).select("session_id", "seq", "r.rule", "r.kind", "clauses", F.posexplode(match_spans(text, F.col("r.pattern"))).alias("pos", "span"))
-    return spans.select("session_id", "seq", "rule", "pos", "kind", clause_at(F.col("clauses"), F.col("span.start"))["text"].alias("clause"))
 
+    def matches(rule: int, kind: str | None, pattern: str, ignore_case: bool) -> Column:
+        compiled = F.lit(js(pattern, ignore_case))
+        found = F.struct(F.lit(rule).alias("rule"), F.lit(kind).cast("string").alias("kind"), match_spans(text, compiled).alias("spans"))
+        return F.when(may_match(text, F.col("lower"), pattern, ignore_case) & F.rlike(text, compiled), found)
 
-def _rules(rows: list[tuple[str | None, str, bool]]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(k).cast("string").alias("kind"), F.lit(js(p, c)).alias("pattern")) for i, (k, p, c) in enumerate(rows)])
+    hits = F.array_compact(F.array(*[matches(i, *rule) for i, rule in enumerate(rules)]))
+    tried = instructions.where("redacted_input is not null and redacted_input <> ''").withColumn("lower", F.lower(text)).withColumn("r", F.explode(hits))
+    spans = tried.withColumn("clauses", split_clauses(text)).select("session_id", "seq", "r.rule", "r.kind", "clauses", F.posexplode("r.spans").alias("pos", "span"))
+    return spans.select("session_id", "seq", "rule", "pos", "kind", clause_at(F.col("clauses"), F.col("span.start"))["text"].alias("clause"))
 
 
 def _number(prefix: str) -> Column:
@@ -53,13 +56,13 @@ def _number(prefix: str) -> Column:
 
 def obligations(instructions: DataFrame, settings: Redaction = Redaction()) -> DataFrame:
     """(session_id, id, text, source_turn, kind), numbered in a session by instruction, rule and place."""
-    found = _clauses_of(instructions, _rules(OBLIGATIONS)).withColumn("id", _number("obligation"))
+    found = _clauses_of(instructions, OBLIGATIONS).withColumn("id", _number("obligation"))
     return found.select("session_id", "id", redact(trim(F.col("clause")), settings).alias("text"), F.col("seq").alias("source_turn"), "kind")
 
 
 def prohibitions(instructions: DataFrame, settings: Redaction = Redaction()) -> DataFrame:
     """(session_id, id, text, source_turn, paths): only those whose clause names a path; numbered among themselves."""
-    found = _clauses_of(instructions, _rules([(None, p, c) for p, c in PROHIBITIONS])).withColumn("paths", path_tokens(F.col("clause"))).where(F.size("paths") > 0)
+    found = _clauses_of(instructions, [(None, p, c) for p, c in PROHIBITIONS]).withColumn("paths", path_tokens(F.col("clause"))).where(F.size("paths") > 0)
     return found.withColumn("id", _number("prohibition")).select("session_id", "id", redact(trim(F.col("clause")), settings).alias("text"), F.col("seq").alias("source_turn"), "paths")
 
 

@@ -53,6 +53,12 @@ SELECT event_id, concat('ran ', CASE event_id % 12
 FROM events
 """
 
+#: Texts with a user's name, as a word or as part of one.
+NAMES = """
+SELECT event_id, concat(CASE event_id % 7 WHEN 0 THEN 'ls /srv/bob/x' WHEN 1 THEN 'Bob said' WHEN 2 THEN 'bobby and kebob' WHEN 3 THEN 'a-bob_c' WHEN 4 THEN 'x bob' WHEN 5 THEN '/home/bob/y by BOB.' ELSE 'nobody' END, ' at ', event_id) AS text
+FROM events
+"""
+
 RESIDUAL = """
 SELECT event_id, CASE event_id % 8 WHEN 0 THEN '/Users/alice/x' WHEN 1 THEN '/Users/USER/x' WHEN 2 THEN '/Users/USERS' WHEN 3 THEN 'a-Users-bob-c' WHEN 4 THEN '-Users-USER-c' WHEN 5 THEN 'JIRA-9 and /Users/q' WHEN 6 THEN NULL ELSE 'xJIRA-9' END AS text
 FROM events
@@ -95,7 +101,7 @@ FILES = """
 SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN concat('/Users/alice/p', user_id % 6, '/s', user_id, '.jsonl') ELSE concat('/masked/s', user_id, '.jsonl') END AS path FROM events WHERE user_id % 5 < 4
 """
 
-INPUTS = {"events": EVENTS, "claims": CLAIMS, "tokens": TOKENS, "commands": COMMANDS, "secrets": SECRETS, "residual": RESIDUAL, "clauses": CLAUSES, "reports": REPORTS, "instructions": INSTRUCTIONS, "lines": LINES, "sessions": SESSIONS, "files": FILES}
+INPUTS = {"events": EVENTS, "claims": CLAIMS, "tokens": TOKENS, "commands": COMMANDS, "secrets": SECRETS, "names": NAMES, "residual": RESIDUAL, "clauses": CLAUSES, "reports": REPORTS, "instructions": INSTRUCTIONS, "lines": LINES, "sessions": SESSIONS, "files": FILES}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

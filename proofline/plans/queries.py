@@ -13,7 +13,7 @@ from proofline.functions.dictionaries import COMMAND_CLASSES, Redaction
 from proofline.functions.markup import escape_html, script_safe
 from proofline.functions.redact import RULES as REDACT_RULES
 from proofline.functions.redact import redact, redact_with_count, residual_secrets
-from proofline.operators.adapter import exit_code, session_facts
+from proofline.operators.adapter import raw_events, session_facts
 from proofline.operators.claims import NEGATION, RULES, RuleClaims
 from proofline.operators.contract import OBLIGATIONS, obligations, prohibitions, scope_paths
 from proofline.operators.extractors import grounded
@@ -56,8 +56,13 @@ def _joined(column: str) -> str:
 
 @query("SELECT concat('s', user_id) AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events")
 def seq_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return _read(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "event_id", seq.cast("long").alias("seq"))
+    # a transcript for each user, in which each event is an instruction; its text is the event's id
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    said = F.struct(F.col("event_id").cast("string").alias("content"))
+    raw = F.to_json(F.struct(F.lit("user").alias("type"), said.alias("message")))
+    lines = _read(spark, sf_dir, "events").select(F.concat(F.lit("/t/s"), "user_id", F.lit(".jsonl")).alias("file"), order.alias("line"), raw.alias("raw"))
+    found = raw_events(parse(lines))
+    return found.select(F.regexp_extract("file", r"/t/(.*)\.jsonl", 1).alias("session_id"), F.col("input").cast("long").alias("event_id"), F.col("seq").cast("long").alias("seq"))
 
 
 # the pending map as a recursion would be slow in SQL: a result answers the nearest earlier use with no result of its id in between
@@ -86,23 +91,74 @@ SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS st
   trim(regexp_replace(concat('  a  ', props, chr(9), 'b '), '\\s+', ' ', 'g')) AS command FROM events
 """.replace("\\\\", "\\"))
 def tool_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("Exit code "), F.get_json_object("props", "$.k"))
-    return _read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), exit_code(text).alias("exit_code"), normalized(F.concat(F.lit("  a  "), "props", F.lit("\tb "))).alias("command"))
+    # a transcript for each user, in which each event is a command with its result
+    events = _read(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    command = F.struct(F.concat(F.lit("  a  "), "props", F.lit("\tb ")).alias("command"))
+    use = F.struct(F.lit("tool_use").alias("type"), F.col("event_id").cast("string").alias("id"), F.lit("Bash").alias("name"), command.alias("input"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.col("event_id").cast("string").alias("tool_use_id"), F.concat(F.lit("Exit code "), F.get_json_object("props", "$.k")).alias("content"), (F.col("event_type") == "error").alias("is_error"))
+    line = lambda speaker, block: F.to_json(F.struct(F.lit(speaker).alias("type"), F.struct(F.array(block).alias("content")).alias("message")))
+    both = events.select("user_id", "n", F.posexplode(F.array(line("assistant", use), line("user", result))).alias("second", "raw"))
+    lines = both.select(F.concat(F.lit("/t/s"), "user_id", F.lit(".jsonl")).alias("file"), (2 * F.col("n") - 1 + F.col("second")).alias("line"), "raw")
+    found = raw_events(parse(lines)).where("type = 'command'")
+    return found.select(F.col("tool_id").cast("long").alias("event_id"), F.col("outcome_status").alias("status"), F.col("outcome_exit_code").alias("exit_code"), normalized(F.col("input")).alias("command"))
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of conversations as transcripts, with conv_id and turn; every other text is a list of blocks."""
+    said = _read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    block = F.array(F.struct(F.lit("text").alias("type"), "text"))
+    line = lambda content: F.to_json(F.struct(F.col("role").alias("type"), F.struct(content.alias("content")).alias("message")))
+    raw = F.when(F.col("turn") % 2 == 0, line(F.col("text"))).otherwise(line(block))
+    lines = said.select(F.concat(F.lit("/t/"), "conv_id", F.lit(".jsonl")).alias("file"), (F.col("turn") + 1).cast("int").alias("line"), raw.alias("raw"))
+    return raw_events(parse(lines)).select("*", F.regexp_extract("file", r"/t/(\d+)", 1).cast("long").alias("conv_id"), (F.col("use_line") - 1).alias("turn"))
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND trim(text) <> '' GROUP BY conv_id")
 def last_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = _read(spark, sf_dir, "conversations").where("role = 'assistant' and trim(text) <> ''")
-    return said.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    return _spoken(spark, sf_dir).where("type = 'report'").select("conv_id", "turn", F.col("input").alias("text"))
 
 
 @query("SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id")
 def instruction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = _read(spark, sf_dir, "conversations").where("role = 'user' and trim(text) <> ''")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    said = _spoken(spark, sf_dir).where("type = 'instruction'")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "input"))), lambda x: x["input"])
     return said.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(parts, "\n").alias("text"))
 
 
+#: Uses and results by event: what an event is, whether its use is answered, and where it stands.
+TURNS = """
+SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN 'instruction' WHEN event_id % 5 < 4 THEN 'command' ELSE 'file_edit' END AS type, event_id % 7 <> 0 AS answered, event_type = 'error' AS failed,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS n, CAST(event_id % 3 AS INT) AS code
+FROM events
+"""
+
+
+@query(f"""
+WITH t AS ({TURNS}), e AS (SELECT *, type <> 'instruction' AND NOT answered AS open FROM t)
+SELECT concat('s', user_id) AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY open, n) - 1 AS seq, type, CASE WHEN type = 'instruction' THEN concat('go on ', event_id) WHEN type = 'command' THEN concat('run ', event_id) ELSE concat('/w/f', event_id, '.py') END AS input,
+  CASE WHEN type = 'instruction' THEN NULL WHEN open THEN 'unknown' WHEN failed THEN 'error' ELSE 'ok' END AS status, CASE WHEN type <> 'instruction' AND answered AND failed THEN code END AS exit_code, 2 * n - 1 AS use_line, CASE WHEN type <> 'instruction' AND answered THEN 2 * n END AS result_line
+FROM e
+""")
+def transcript_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.sql(TURNS.replace("FROM events", "FROM {events}"), events=_read(spark, sf_dir, "events"))
+    number = F.col("event_id").cast("string")
+    line = lambda speaker, content: F.to_json(F.struct(F.lit(speaker).alias("type"), F.struct(content.alias("content")).alias("message")))
+    use = lambda tool, key, value: line("assistant", F.array(F.struct(F.lit("tool_use").alias("type"), number.alias("id"), F.lit(tool).alias("name"), F.struct(value.alias(key)).alias("input"))))
+    said = F.when(F.col("type") == "instruction", line("user", F.concat(F.lit("go on "), number))).when(F.col("type") == "command", use("Bash", "command", F.concat(F.lit("run "), number)))
+    said = said.otherwise(use("Edit", "file_path", F.concat(F.lit("/w/f"), number, F.lit(".py"))))
+    text = F.when(F.col("failed"), F.concat(F.lit("Exit code "), "code")).otherwise("done")
+    result = line("user", F.array(F.struct(F.lit("tool_result").alias("type"), number.alias("tool_use_id"), text.alias("content"), F.col("failed").alias("is_error"))))
+    answer = F.when((F.col("type") != "instruction") & F.col("answered"), result).otherwise("")
+    both = turns.select("user_id", "n", F.posexplode(F.array(said, answer)).alias("second", "raw"))
+    lines = both.select(F.concat(F.lit("/t/s"), "user_id", F.lit(".jsonl")).alias("file"), (2 * F.col("n") - 1 + F.col("second")).alias("line"), "raw")
+    found = raw_events(parse(lines))
+    event = F.coalesce("tool_id", F.regexp_extract("input", r"(\d+)", 1)).cast("long")
+    return found.select(
+        F.regexp_extract("file", r"/t/(.*)\.jsonl", 1).alias("session_id"), event.alias("event_id"), F.col("seq").cast("long").alias("seq"), "type", "input", F.col("outcome_status").alias("status"),
+        F.col("outcome_exit_code").alias("exit_code"), "use_line", "result_line",
+    )
+
+
 @query(with_inputs("""
 , x AS (SELECT *, event_id % 12 AS k FROM d_lines)
 SELECT file, count_if(k <> 1) AS total_lines, count_if(k IN (0, 4)) AS parse_error_lines, count_if(k IN (2, 3)) AS unknown_type_lines, count_if(k IN (0, 2, 3, 4)) AS skipped_lines, count_if(k >= 5) AS parsed_lines,
@@ -156,8 +212,8 @@ def command_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # redaction
 
 
-def _redact_sql(text: str, rules: list[tuple[str, bool, str]] = REDACT_RULES) -> str:
-    for pattern, ignore_case, replacement in [*rules, (r"\bJIRA-\d+\b", False, "TICKET-N")]:
+def _redact_sql(text: str, rules: list[tuple[str, bool, str]] = REDACT_RULES, ticket: bool = True) -> str:
+    for pattern, ignore_case, replacement in [*rules, *[(r"\bJIRA-\d+\b", False, "TICKET-N")] * ticket]:
         p = (("(?i)" if ignore_case else "") + pattern).replace(r"\/", "/").replace(r"[\s\S]", r"(?s:.)").replace("'", "''")
         text = f"regexp_replace({text}, '{p}', '{replacement.replace('$', chr(92))}', 'g')"
     return text
@@ -188,16 +244,25 @@ def redact_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "secrets").select("event_id", redact(F.col("text"), PLAIN).alias("text"))
 
 
-@query(with_inputs("""
- SELECT event_id, CAST(CASE event_id % 12 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 7 THEN 1 WHEN 8 THEN 1 WHEN 9 THEN 1 WHEN 10 THEN 3 ELSE 0 END AS BIGINT) AS n FROM d_secrets
-""", "secrets"))
+def _count_sql() -> str:
+    """Rule after rule, each counted in what the rules before it have left."""
+    steps = ["x0 AS (SELECT event_id, text, 0 AS n FROM d_secrets)"]
+    for i, (pattern, ignore_case, _) in enumerate([*REDACT_RULES, (r"\bJIRA-\d+\b", False, "TICKET-N")]):
+        p = (("(?i)" if ignore_case else "") + pattern).replace(r"\/", "/").replace(r"[\s\S]", r"(?s:.)").replace("'", "''")
+        masked = _redact_sql("text", [REDACT_RULES[i]], ticket=False) if i < len(REDACT_RULES) else _redact_sql("text", [])
+        steps.append(f"x{i + 1} AS (SELECT event_id, {masked} AS text, n + len(regexp_extract_all(text, '{p}')) AS n FROM x{i})")
+    return ", " + ", ".join(steps) + f" SELECT event_id, CAST(n AS BIGINT) AS n FROM x{len(steps) - 1}"
+
+
+@query(with_inputs(_count_sql(), "secrets"))
 def redaction_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_with_count(derived(spark, sf_dir, "secrets"), "text", "masked", "n", PLAIN).select("event_id", F.col("n").cast("long").alias("n"))
 
 
-@query()
+# the names of SECRETS stand between slashes or at no escape, so that RE2 needs no look behind
+@query(with_inputs(f" SELECT event_id, {_redact_sql('regexp_replace(' + _redact_sql('text', ticket=False) + chr(44) + chr(39) + '(?i)(^|[^a-zA-Z0-9])bob($|[^a-zA-Z0-9])' + chr(39) + chr(44) + chr(39) + chr(92) + '1USER' + chr(92) + '2' + chr(39) + chr(44) + chr(39) + 'g' + chr(39) + ')', [])} AS text FROM d_names", "names"))
 def redact_os_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "secrets").select("event_id", redact(F.col("text"), Redaction(user="alice")).alias("text"))
+    return derived(spark, sf_dir, "names").select("event_id", redact(F.col("text"), Redaction(user="bob")).alias("text"))
 
 
 @query(with_inputs(r"""
