@@ -3,23 +3,39 @@
 from __future__ import annotations
 
 import argparse
+import getpass
+import os
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.dictionaries import REDACTIONS, Redaction, load_redactions, merged
+from proofline.functions.dictionaries import COMMAND_CLASSES, REDACTIONS, Redaction, load_command_classes, load_redactions, merged
+from proofline.functions.redact import unmask
+from proofline.operators.claims import ClaimExtractor, RuleClaims
+from proofline.operators.extractors import MODELS, backend_claims
 from proofline.plans import audit, evaluate, export, mutate, reports
+from proofline.scratch import cut
+from proofline.sources.files import existing, joined, physical_lines
 from proofline.sources.store import Store, StoreError
-from proofline.sources.transcripts import expand, lines, read_files
+from proofline.sources.transcripts import expand
 
 
-def _arguments() -> argparse.Namespace:
+def _system_user() -> str | None:
+    try:
+        return getpass.getuser()
+    except (KeyError, OSError):  # no name for this user
+        return None
+
+
+def _arguments(given: list[str] | None = None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="proofline")
-    top.add_argument("--user", help="name of the system's user, to be masked")
+    top.add_argument("--user", default=_system_user(), help="the user's name that is masked; the system's user if not given, none if empty")
     top.add_argument("--redactions", help="a redaction dictionary")
+    top.add_argument("--classes", help="a dictionary of command classes")
     commands = top.add_subparsers(dest="command", required=True)
+    claims = [("--extractor", {"choices": ["rules", "llm"], "default": "rules"}), ("--llm-backend", {"choices": list(MODELS), "default": "codex-exec"}), ("--llm-model", {"help": "the backend's default if not given"})]
 
     def add(name: str, *options: tuple) -> None:
         sub = commands.add_parser(name)
@@ -27,46 +43,69 @@ def _arguments() -> argparse.Namespace:
         for option, settings in options:
             sub.add_argument(option, **settings)
 
+    home = str(Path.home() / ".proofline/corpus")
     add("ingest", ("patterns", {"nargs": "+"}), ("--force", {"action": "store_true"}))
-    add("sessions")
-    add("audit", ("session", {"nargs": "?"}), ("--all", {"action": "store_true"}), ("--out", {"default": "audit-reports"}), ("--html", {"action": "store_true"}))
-    add("mutate", ("--out", {"default": "mutations"}), ("--anonymized-dir", {"default": str(Path.home() / ".proofline/corpus")}))
-    add("export-corpus", ("--out", {"default": str(Path.home() / ".proofline/corpus")}))
-    add("eval", ("--mutations", {"required": True}), ("--out", {}))
-    return top.parse_args()
+    add("sessions", ("--limit", {"type": int, "default": 1000, "help": "how many are shown"}))
+    add("audit", ("session", {"nargs": "?"}), ("--all", {"action": "store_true"}), ("--out", {"default": "audit-reports"}), ("--html", {"action": "store_true"}), *claims)
+    add("mutate", ("--out", {"default": "mutations"}), ("--anonymized-dir", {"default": home}))
+    add("export-corpus", ("--out", {"default": home}))
+    add("eval", ("--mutations", {"required": True}), ("--out", {}), *claims)
+    return top.parse_args(given)
+
+
+def _extractor(args: argparse.Namespace, settings: Redaction) -> ClaimExtractor:
+    if args.extractor == "rules":
+        return RuleClaims(settings)
+    try:
+        return backend_claims(args.llm_backend, args.llm_model, os.environ.get("ANTHROPIC_API_KEY"))
+    except ValueError as why:
+        raise SystemExit(str(why)) from why
 
 
-def _listed(store: Store, user: str, more: list[str] = ()) -> tuple:
+def _sources(store: Store, user: str, anonymized: str | None = None) -> DataFrame:
+    """resolved() or mutation_sources() of all sessions; the tasks look for the files."""
     sessions = store.read("sessions")
-    paths = [r[0].replace("/Users/USER", f"/Users/{user}").replace("-Users-USER-", f"-Users-{user}-") for r in sessions.select("source_path").collect()]
-    there = [p for p in [*paths, *more] if Path(p).is_file()]
-    return sessions, store.spark.createDataFrame([(p,) for p in there], "path string")
+    paths = sessions.select(unmask(F.col("source_path"), user).alias("path"))
+    if anonymized is None:
+        return cut(export.resolved(sessions, existing(paths), user), "sources")
+    masked = sessions.select(F.concat(F.lit(anonymized.rstrip("/") + "/"), "id", F.lit(".jsonl")).alias("path"))
+    return cut(export.mutation_sources(sessions, existing(paths.union(masked)), anonymized, user), "sources")
+
+
+def _lines_of(sources: DataFrame) -> DataFrame:
+    """(session_id, file, line, raw) of the sources that have a path."""
+    there = sources.where("path is not null").select("session_id", "path")
+    return physical_lines(there.select("path").distinct().repartition("path")).join(there, "path").select("session_id", F.col("path").alias("file"), "line", "raw")
 
 
-def main() -> int:
-    args = _arguments()
+def main(given: list[str] | None = None) -> int:
+    args = _arguments(given)
     spark = SparkSession.builder.appName("proofline").getOrCreate()
-    settings = Redaction(args.user, tuple(merged(load_redactions(args.redactions)) if args.redactions else REDACTIONS))
+    settings = Redaction(args.user or None, tuple(merged(load_redactions(args.redactions)) if args.redactions else REDACTIONS))
+    classes = load_command_classes(args.classes) if args.classes else COMMAND_CLASSES
     store = Store(spark, str(Path(args.db).absolute()) if "://" not in args.db else args.db, settings)
     user = args.user or "USER"
     if args.command == "ingest":
+        stored, refused = audit.ingest_all(store, expand(args.patterns), args.force, classes)
+        for row in stored.orderBy("source_path").toLocalIterator():
+            print(f"{row.source_path}: session {row.id}, {row.total_lines} lines, {row.redaction_count} redactions")
         failed = 0
-        for path in expand(args.patterns):
-            try:
-                for row in audit.ingest(store, path, args.force).collect():
-                    print(f"{path}: session {row.id}, {row.total_lines} lines, {row.redaction_count} redactions")
-            except Exception as why:  # the other files go on
-                failed += 1
-                print(f"{path}: {str(why)[:300]}", file=sys.stderr)
+        for row in refused.orderBy("file").toLocalIterator():
+            failed += 1
+            print(f"{row.file}: {row.reason}", file=sys.stderr)
+        print(f"stored {stored.count()}, failed {failed}")
         return int(failed > 0)
     if args.command == "sessions":
-        store.summary().show(1000, False)
+        found = store.summary()
+        found.show(args.limit, False)
+        print(f"{found.count()} sessions")
     elif args.command == "audit":
         if not args.all and not args.session:
             raise SystemExit("give a session or --all")
-        found, verdicts, contracts = audit.audit_store(store, None if args.all else args.session)
-        sessions = store.read("sessions", None if args.all else args.session).selectExpr("id as session_id")
-        bundles = reports.bundle(sessions, found, verdicts, store.read("events", None if args.all else args.session), contracts, 200 if args.html else 160)
+        only = None if args.all else args.session
+        found, verdicts, contracts = audit.audit_store(store, only, _extractor(args, settings))
+        sessions = store.read("sessions", only).selectExpr("id as session_id")
+        bundles = reports.bundle(sessions, found, verdicts, store.read("events", only), contracts, 200 if args.html else 160)
         texts = [("json", reports.as_json(bundles)), ("md", reports.as_markdown(bundles))] + ([("html", reports.as_html(bundles))] if args.html else [])
         for kind, df in texts:
             df.withColumnRenamed(df.columns[1], "value").write.mode("overwrite").partitionBy("session_id").text(f"{args.out}/{kind}")
@@ -76,32 +115,26 @@ def main() -> int:
         reports.histogram(verdicts, "reason_code").show(50, False)
         reports.run_totals(found, sessions).show()
     elif args.command == "mutate":
-        folder = args.anonymized_dir
-        sessions, files = _listed(store, user, [str(p) for p in Path(folder).glob("*.jsonl")])
-        sources = export.mutation_sources(sessions, files, folder, user).persist()
-        paths = [r.path for r in sources.where("path is not null").collect()]
-        if not paths:
+        sources = _sources(store, user, args.anonymized_dir)
+        if not sources.where("path is not null").limit(1).count():
             raise SystemExit("no transcript was found")
-        made, manifest, skipped = mutate.generate(read_files(spark, paths), settings)
-        kept = made.join(manifest.select("mutant_id"), "mutant_id", "left_semi")
-        kept.repartition("mutant_id").sortWithinPartitions("mutant_id", "line").select("operator", "mutant_id", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("operator", "mutant_id").text(f"{args.out}/files")
-        kept.write.mode("overwrite").parquet(f"{args.out}/lines")
-        manifest.coalesce(1).write.mode("overwrite").json(f"{args.out}/manifest")
+        sources.groupBy("origin").count().orderBy("origin").show()
+        made, manifest, skipped = mutate.generate(_lines_of(sources), settings, classes)
+        manifest, skipped = cut(manifest, "manifest"), cut(skipped, "skipped")
+        mutate.write(made, manifest, args.out)
         mutate.per_operator(manifest).orderBy("operator").show()
-        skipped.show(50, False)
+        skipped.orderBy("operator", "mutant_id").show(50, False)
+        print(f"{manifest.count()} mutants, {skipped.count()} skipped")
     elif args.command == "export-corpus":
-        sessions, files = _listed(store, user)
-        sources = export.resolved(sessions, files, user).persist()
-        paths = [r.path for r in sources.where("path is not null").collect()]
-        rows = lines(read_files(spark, paths), r"\n").join(sources.withColumnRenamed("path", "file"), "file").select("session_id", "line", "raw")
-        problems = export.write(*export.export(rows, settings), args.out, sources)
+        sources = _sources(store, user)
+        problems = export.write(*export.export(_lines_of(sources).select("session_id", "line", "raw"), settings), args.out, sources, settings)
         print("\n".join(problems) if problems else f"written to {args.out}")
         return int(bool(problems))
     elif args.command == "eval":
-        manifest = spark.read.schema("mutant_id string, source_session string, mutant_session_id string, operator string, claim_kind string, target_claim_turn int, target_lines array<int>, expected_verdict string, expected_reason_code string, mutant_file string").json(f"{args.mutations}/manifest")
-        results = evaluate.evaluate(spark.read.parquet(f"{args.mutations}/lines"), manifest, settings).persist()
+        mutants, manifest = evaluate.read_mutants(spark, args.mutations)
+        results = cut(evaluate.evaluate(mutants, manifest, settings, _extractor(args, settings), classes), "results")
         row = evaluate.report(results).first()
-        out = args.out or f"{args.mutations}/eval-reports"
+        out = args.out or joined(args.mutations, "eval-reports")
         for kind, text in (("json", row.json), ("md", row.markdown)):
             spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/{kind}")
         print(row.markdown)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proofline.functions.dictionaries import Redaction
+from proofline.functions.dictionaries import COMMAND_CLASSES, Redaction
 from proofline.operators.adapter import adapt
 from proofline.operators.claims import ClaimExtractor, RuleClaims
 from proofline.operators.contract import ContractExtractor, RuleContract
 from proofline.operators.verdicts import evaluate
 from proofline.scratch import cut
+from proofline.sources.files import existing, physical_lines
 from proofline.sources.store import Store
 from proofline.sources.transcripts import lines, parse, read_files
 
@@ -22,6 +26,22 @@ def ingest(store: Store, paths: str | list[str], force: bool = False) -> DataFra
     return sessions.select("id", "source_path", "total_lines", "redaction_count", "mismatch")
 
 
+def ingest_all(store: Store, paths: list[str], force: bool = False, classes: Mapping[str, list[str]] = COMMAND_CLASSES) -> tuple[DataFrame, DataFrame]:
+    """Read all transcripts in one go, however many: (stored sessions, refused (file, reason)). A file that can't be stored keeps no
+    other from it."""
+    spark = store.spark
+    wanted = spark.createDataFrame([(p,) for p in paths], "path string")
+    there = cut(existing(wanted), "there")
+    missing = wanted.join(there, "path", "left_anti").select(F.col("path").alias("file"), F.lit("there is no such file").alias("reason"))
+    rows = physical_lines(there.repartition("path"), returns=True).select(F.col("path").alias("file"), "line", "raw")
+    sessions, events = adapt(cut(parse(rows), "parsed"), store.settings, classes)
+    sessions, events = cut(sessions, "sessions"), cut(events, "events")
+    bad = cut(store.refused(sessions, events, force), "refused")
+    good = cut(sessions.join(bad, "file", "left_anti"), "good")
+    store.upsert(good, events.join(good.select("file"), "file", "left_semi"), force)
+    return good.select("id", "source_path", "total_lines", "redaction_count", "mismatch"), missing.unionByName(bad)
+
+
 def audit(events: DataFrame, claims: ClaimExtractor | None = None, contract: ContractExtractor | None = None, settings: Redaction = Redaction()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claims, verdicts, contracts) of all sessions with events; give it a table that was read, not a long plan."""
     found = (claims or RuleClaims(settings)).extract(events.where("type = 'report'"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.dictionaries import Redaction
+from proofline.functions.dictionaries import COMMAND_CLASSES, Redaction
 from proofline.operators.adapter import adapt
+from proofline.operators.claims import ClaimExtractor
 from proofline.plans.audit import audit
 from proofline.scratch import cut
+from proofline.sources.files import joined, physical_lines
 from proofline.sources.transcripts import parse
 
 GATE = 0.95
@@ -24,15 +29,26 @@ def compare(manifest: DataFrame, claims: DataFrame, verdicts: DataFrame) -> Data
     return both.withColumns({"match": F.coalesce(same, F.lit(False)), "error": error})
 
 
-def evaluate(mutants: DataFrame, manifest: DataFrame, settings: Redaction = Redaction()) -> DataFrame:
-    """compare() for mutants (mutant_id, line, raw)."""
-    rows = mutants.join(manifest.select("mutant_id"), "mutant_id", "left_semi")
-    _, events = adapt(cut(parse(rows.select(F.concat(F.lit("/mutants/"), F.col("mutant_id"), F.lit(".jsonl")).alias("file"), "line", "raw")), "parsed"), settings)
+def evaluate(mutants: DataFrame, manifest: DataFrame, settings: Redaction = Redaction(), extractor: ClaimExtractor | None = None, classes: Mapping[str, list[str]] = COMMAND_CLASSES) -> DataFrame:
+    """compare() for mutants (mutant_id, line, raw). A mutant is judged as the session that the manifest names."""
+    rows = mutants.join(manifest.select("mutant_id", "mutant_session_id"), "mutant_id")
+    _, events = adapt(cut(parse(rows.select(F.concat(F.lit("/mutants/"), F.col("mutant_session_id"), F.lit(".jsonl")).alias("file"), "line", "raw")), "parsed"), settings, classes)
     events = cut(events.withColumn("session_id", F.regexp_extract("file", r"^/mutants/(.*)\.jsonl$", 1)), "events")
-    claims, verdicts, _ = audit(events, settings=settings)
+    claims, verdicts, _ = audit(events, extractor, settings=settings)
     return compare(manifest, claims, verdicts)
 
 
+MANIFEST = "mutant_id string, source_session string, mutant_session_id string, operator string, claim_kind string, target_claim_turn int, target_lines array<int>, expected_verdict string, expected_reason_code string, mutant_file string, notes string"
+
+
+def read_mutants(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, manifest) of what mutate.write() wrote below folder; the tasks read the files."""
+    manifest = cut(spark.read.schema(MANIFEST).json(joined(folder, "manifest.json"), multiLine=True), "manifest")
+    base = folder if "://" in folder else os.path.abspath(folder)
+    paths = manifest.select("mutant_id", F.concat(F.lit(base.rstrip("/") + "/"), "mutant_file").alias("path"))
+    return physical_lines(paths.repartition("path")).join(paths, "path").select("mutant_id", "line", "raw"), manifest
+
+
 def rates(results: DataFrame) -> DataFrame:
     """(operator, total, match, rate) by operator, in order, and for all (operator null, last); the rate of nothing is 0."""
     out = results.rollup("operator").agg(F.count("*").alias("total"), F.count_if("match").alias("match"))

@@ -8,8 +8,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from proofline.functions.dictionaries import Redaction
-from proofline.functions.redact import redact_with_count, residual_secrets, unmask
+from proofline.functions.redact import redact, redact_with_count, residual_secrets, unmask
 from proofline.packages import ship
+from proofline.scratch import cut
+from proofline.sources.files import digests, joined, write_files, write_list
 from proofline.sources.transcripts import is_json
 
 
@@ -44,31 +46,45 @@ def redacted_lines(rows: DataFrame, settings: Redaction = Redaction(), column: s
     return out.withColumn("broken", (F.col(column) != "") & valid_json(column) & ~valid_json("text"))
 
 
+#: Fixed value: what is said of a line that redaction broke.
+BROKEN = "redaction produced invalid JSON (was valid before redaction)"
+ENTRY = ("session_id", "exported", "source_path", "reason", "line_count", "redaction_count", "sha256", "broken_lines", "exported_at")
+
+
 def export(rows: DataFrame, settings: Redaction = Redaction(), at: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, manifest, problems) for rows (session_id, line, raw) split at line feeds only.
 
-    problems lists broken lines and texts with residual secrets; only without any may lines be written.
+    sha256 is that of the bytes that are written: all lines, joined by line feeds. problems lists broken lines and texts with
+    residual secrets; only without any may lines be written.
     """
-    done = redacted_lines(rows, settings)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"])
+    done = cut(redacted_lines(rows, settings).select("session_id", "line", "text", "count", "broken"), "masked")
     manifest = done.groupBy("session_id").agg(
-        F.count("*").alias("line_count"), F.sum("count").alias("redaction_count"), F.sha2(F.array_join(ordered, "\n"), 256).alias("sha256"),
-        F.array_sort(F.collect_list(F.when(F.col("broken"), F.col("line")))).alias("broken_lines"),
-    )
+        F.count("*").alias("line_count"), F.sum("count").alias("redaction_count"),
+        F.array_sort(F.collect_list(F.when(F.col("broken"), F.struct("line", F.lit(BROKEN).alias("reason"))))).alias("broken_lines"),
+    ).join(digests(done, "session_id"), "session_id")
     manifest = manifest.withColumns({"exported": F.lit(True), "exported_at": F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
     broken = done.where("broken").select("session_id", "line", F.lit("redaction produced invalid JSON").alias("problem"))
     secret = done.select("session_id", "line", F.explode(residual_secrets(F.col("text"), settings)).alias("problem"))
     return done.select("session_id", "line", "text"), manifest, broken.unionByName(secret)
 
 
-def write(lines: DataFrame, manifest: DataFrame, problems: DataFrame, folder: str, unresolved: DataFrame | None = None, shown: int = 20) -> list[str]:
-    """Write all files and the manifest, or nothing: then the first problems and the number of the rest."""
+def write(lines: DataFrame, manifest: DataFrame, problems: DataFrame, folder: str, sources: DataFrame | None = None, settings: Redaction = Redaction(), shown: int = 20) -> list[str]:
+    """Write <session_id>.jsonl for each session and manifest.json, or nothing: then the first problems and the number of the rest.
+
+    sources: resolved(), for the masked source paths and the sessions that could not be exported.
+    """
     count = problems.count()
     if count:
         first = [f"{r.session_id}:{r.line}: {r.problem}" for r in problems.orderBy("session_id", "line", "problem").limit(shown).collect()]
         return first + ([f"and {count - shown} more"] if count > shown else [])
-    if unresolved is not None:
-        manifest = manifest.unionByName(unresolved.where("path is null").select("session_id", "reason", F.lit(False).alias("exported")), allowMissingColumns=True)
-    lines.repartition("session_id").sortWithinPartitions("session_id", "line").select("session_id", F.col("text").alias("value")).write.mode("overwrite").partitionBy("session_id").text(f"{folder}/corpus")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    written = write_files(lines.select(F.concat("session_id", F.lit(".jsonl")).alias("path"), "line", "text"), folder)
+    written = cut(written.select(F.regexp_replace("path", r"\.jsonl$", "").alias("session_id"), F.col("sha256").alias("written")), "written")
+    manifest = cut(manifest.join(written, "session_id", "left"), "manifest")
+    wrong = manifest.where("written is null or written <> sha256").limit(shown).collect()
+    if wrong:
+        return [f"{r.session_id}: the file is not what was to be written" for r in wrong]
+    if sources is not None:
+        manifest = manifest.join(sources.where("path is not null").select("session_id", redact(F.col("path"), settings).alias("source_path")), "session_id", "left")
+        manifest = manifest.unionByName(sources.where("path is null").select("session_id", "reason", F.lit(False).alias("exported")), allowMissingColumns=True)
+    write_list(manifest.select(*[c for c in ENTRY if c in manifest.columns]), joined(folder, "manifest.json"), ["session_id"])
     return []

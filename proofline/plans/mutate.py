@@ -8,19 +8,20 @@ mutants of all sessions at once.
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from proofline.functions.dictionaries import Redaction
+from proofline.functions.dictionaries import COMMAND_CLASSES, Redaction
 from proofline.operators.adapter import adapt
 from proofline.operators.claims import RuleClaims
 from proofline.packages import ship
 from proofline.schemas import CHECK_KINDS, EVIDENCE
 from proofline.scratch import cut
-from proofline.sources.transcripts import lines as split_lines
+from proofline.sources.files import joined, write_files, write_list
 from proofline.sources.transcripts import parse, strict_json
 
 OPERATORS = ("M1", "M2", "M3", "M4", "M5", "M6", "M7", "M8")
@@ -32,6 +33,11 @@ SEPARATOR = "\n\n=== mutation-injected note (unrelated to the above) ===\n"
 TIME = "2026-01-01T00:00:00.000Z"
 #: Expected verdict and reason, and by how much the number of lines changes (M1 and M4: minus the lines left out).
 EXPECTED = {"M1": ("contradicted", "D1"), "M2": ("contradicted", "D2"), "M3": ("contradicted", "D1"), "M4": ("contradicted", "D2"), "M5": ("unknown", "D2-UNRELATED-CWD"), "M6": ("unknown", "D1-UNVERIFIED"), "M7": ("unknown", "D2-COMPOSITE-AMBIGUOUS"), "M8": ("unknown", "D2-PARTIAL-RERUN")}
+NOTES = {
+    "M1": "the only successful run is deleted, so no evidence is left before the claim", "M2": "the last successful run is turned into a failure", "M3": "a claim is put into the report though the session has no such run",
+    "M4": "the successful rerun after a failure is deleted, so the failure is the last run", "M5": "a failure in a folder that has nothing to do with the claim is put in", "M6": "the only successful run is suppressed, and a rerun without a result is all that is left",
+    "M7": "a failed composite run is the only evidence that is put in for the claim", "M8": "after a failure of the whole suite only a narrower command succeeds",
+}
 REWRITE = "struct<line: int, how: string, arg: string>"
 
 
@@ -168,36 +174,48 @@ def _rewrite(raw, how, arg):  # noqa: ANN001, ANN202
     """JSON rewriting that keeps the order of keys, which no function of Spark does."""
     import pandas as pd
 
-    return pd.Series([r if h is None else rewritten(r, h, a) for r, h, a in zip(raw, how, arg, strict=True)])
+    return pd.Series([rewritten(r, h, a) for r, h, a in zip(raw, how, arg, strict=True)])
+
+
+def mutant_id() -> Column:
+    return F.concat_ws("-", "operator", "session_id", "kind")
+
+
+def mutant_session_id() -> Column:
+    return F.concat_ws("-", F.lit("mut"), F.lower("operator"), "session_id", "kind")
 
 
 def mutants(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    """(mutant_id, operator, kind, line, raw) from lines (session_id, line, raw) split at line feeds, and edits()."""
+    """(mutant_id, operator, kind, line, raw) from lines (session_id, line, raw) split at line feeds, and edits(). Only lines that
+    an edit changes go through Python."""
     ship(rows.sparkSession)
-    named = changes.withColumn("mutant_id", F.concat_ws("-", "session_id", "operator", "kind"))
+    named = changes.withColumn("mutant_id", mutant_id())
     edit = F.get(F.filter("rewrites", lambda r: r["line"] == F.col("line")), F.lit(0))
     old = rows.join(named, "session_id").where(~F.array_contains("deletes", F.col("line"))).withColumn("edit", edit)
-    old = old.withColumn("raw", _rewrite("raw", "edit.how", "edit.arg")).select("mutant_id", "session_id", "operator", "kind", F.col("line").alias("at"), F.lit(1).alias("sub"), F.lit(0).alias("pos"), "raw")
+    edited = old.where("edit is not null").withColumn("raw", _rewrite("raw", "edit.how", "edit.arg"))
+    old = old.where("edit is null").unionByName(edited).select("mutant_id", "session_id", "operator", "kind", F.col("line").alias("at"), F.lit(1).alias("sub"), F.lit(0).alias("pos"), "raw")
     new = named.select("mutant_id", "session_id", "operator", "kind", F.col("report_line").alias("at"), F.lit(0).alias("sub"), F.posexplode("inserts").alias("pos", "raw"))
     both = old.unionByName(new)
     by = Window.partitionBy("mutant_id").orderBy("at", "sub", "pos")
-    changed = F.replace(F.col("raw"), F.concat(F.lit('"sessionId":"'), F.col("session_id"), F.lit('"')), F.concat(F.lit('"sessionId":"'), F.col("mutant_id"), F.lit('"')))
+    changed = F.replace(F.col("raw"), F.concat(F.lit('"sessionId":"'), F.col("session_id"), F.lit('"')), F.concat(F.lit('"sessionId":"'), mutant_session_id(), F.lit('"')))
     return both.select("mutant_id", "operator", "kind", F.row_number().over(by).alias("line"), changed.alias("raw"))
 
 
-def generate(files: DataFrame, settings: Redaction = Redaction()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, manifest, skipped) of all mutants of the sessions in files (file, content).
+def generate(physical: DataFrame, settings: Redaction = Redaction(), classes: Mapping[str, list[str]] = COMMAND_CLASSES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, manifest, skipped) of all mutants of the sessions in files, given as their lines (file, line, raw), split at line
+    feeds only.
 
     A mutant is kept if its number of lines changed as planned, its text changed, its report stands where it should, and the claim
     can be found there. target_claim_turn is the report's seq after the change.
     """
-    _, events = adapt(cut(parse(split_lines(files)), "parsed"), settings)
+    physical = cut(physical.select("file", "line", "raw"), "physical")
+    _, events = adapt(cut(parse(physical.withColumn("raw", F.regexp_replace("raw", r"\r$", ""))), "parsed"), settings, classes)
     events = cut(events, "events")
     claims = cut(RuleClaims(settings).extract(events.where("type = 'report'")), "claims")
-    rows = cut(split_lines(files, r"\n").join(events.select("file", "session_id").distinct(), "file").select("session_id", "line", "raw"), "lines")
-    changes = cut(edits(claims, events).withColumn("mutant_id", F.concat_ws("-", "session_id", "operator", "kind")), "edits")
+    rows = physical.join(events.select("file", "session_id").distinct(), "file").select("session_id", "line", "raw")
+    changes = cut(edits(claims, events).withColumn("mutant_id", mutant_id()), "edits")
     made = cut(mutants(rows, changes.drop("mutant_id")), "mutants")
-    _, after = adapt(cut(parse(made.select(F.concat(F.lit("/mutants/"), F.col("mutant_id"), F.lit(".jsonl")).alias("file"), "line", "raw").where("raw is not null")), "parsed"), settings)
+    _, after = adapt(cut(parse(made.select(F.concat(F.lit("/mutants/"), F.col("mutant_id"), F.lit(".jsonl")).alias("file"), "line", "raw").where("raw is not null")), "parsed"), settings, classes)
     after = cut(after.withColumn("mutant_id", F.regexp_extract("file", r"^/mutants/(.*)\.jsonl$", 1)), "events")
     reports = after.where("type = 'report'").select("mutant_id", "seq", "redacted_input", "cwd", F.col("evidence_tool_use_source_line").alias("found_line"))
     found = RuleClaims(settings).extract(reports.withColumnRenamed("mutant_id", "session_id")).select(F.col("session_id").alias("mutant_id"), "kind", F.col("turn").alias("target_claim_turn"))
@@ -207,14 +225,22 @@ def generate(files: DataFrame, settings: Redaction = Redaction()) -> tuple[DataF
     why = F.when(F.col("failed") > 0, "a line could not be rewritten").when(F.col("lines_after") - F.col("lines_before") != F.col("delta"), "the number of lines is not as planned").when(F.coalesce(F.col("found_line"), F.lit(-1)) != F.col("report_line") + F.col("delta"), "the report is not where it should be").when(F.col("target_claim_turn").isNull(), "the claim was not found")
     checked = checked.withColumn("reason", why)
     expected = lambda i: _lookup({k: v[i] for k, v in EXPECTED.items()}, F.col("operator"))
-    targets = F.concat("deletes", F.transform("rewrites", lambda r: r["line"]))
+    targets = F.concat("deletes", F.transform("rewrites", lambda r: r["line"]), F.when(F.col("operator") == "M6", F.array("report_line")).otherwise(F.array().cast("array<int>")))
     manifest = checked.where("reason is null").select(
-        "mutant_id", F.col("session_id").alias("source_session"), F.col("mutant_id").alias("mutant_session_id"), "operator", F.col("kind").alias("claim_kind"), "target_claim_turn", targets.alias("target_lines"),
+        "mutant_id", F.col("session_id").alias("source_session"), mutant_session_id().alias("mutant_session_id"), "operator", F.col("kind").alias("claim_kind"), "target_claim_turn", targets.alias("target_lines"),
         expected(0).alias("expected_verdict"), expected(1).alias("expected_reason_code"), F.concat("operator", F.lit("/"), "session_id", F.lit("-"), "kind", F.lit(".jsonl")).alias("mutant_file"),
+        _lookup(NOTES, F.col("operator")).alias("notes"),
     )
     return made, manifest, checked.where("reason is not null").select("mutant_id", "operator", "reason")
 
 
+def write(made: DataFrame, manifest: DataFrame, folder: str) -> None:
+    """Write each mutant of the manifest to its mutant_file below folder, and manifest.json."""
+    rows = made.join(manifest.select("mutant_id", F.col("mutant_file").alias("path")), "mutant_id").select("path", "line", F.col("raw").alias("text"))
+    write_files(rows, folder).agg(F.sum("bytes")).collect()
+    write_list(manifest, joined(folder, "manifest.json"), ["operator", "source_session", "claim_kind"])
+
+
 def per_operator(manifest: DataFrame, enough: int = 3) -> DataFrame:
     """(operator, n, short) for all eight operators."""
     spark = manifest.sparkSession

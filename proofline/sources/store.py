@@ -22,9 +22,9 @@ class StoreError(ValueError):
     pass
 
 
-def violations(df: DataFrame, columns: list[str], settings: Redaction) -> DataFrame:
-    """(column, label, value) of every text that redaction should have masked."""
-    found = [df.select(F.lit(c).alias("column"), F.explode(residual_secrets(F.col(c).cast("string"), settings)).alias("label"), F.col(c).cast("string").alias("value")) for c in columns]
+def violations(df: DataFrame, columns: list[str], settings: Redaction, keep: list[str] = ()) -> DataFrame:
+    """(keep, column, label, value) of every text that redaction should have masked."""
+    found = [df.select(*keep, F.lit(c).alias("column"), F.explode(residual_secrets(F.col(c).cast("string"), settings)).alias("label"), F.col(c).cast("string").alias("value")) for c in columns]
     out = found[0]
     for other in found[1:]:
         out = out.unionByName(other)
@@ -134,6 +134,16 @@ class Store:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def refused(self, sessions: DataFrame, events: DataFrame, force: bool = False) -> DataFrame:
+        """(file, reason) of sessions, with events, both with the file that they come from, that upsert() would not store."""
+        ids = sessions.select(F.col("id").alias("session_id"), "file")
+        found = violations(sessions.select("file", "source_path", "project"), ["source_path", "project"], self.settings, ["file"]).unionByName(violations(events, ["redacted_input", "cwd"], self.settings, ["file"]))
+        out = found.select("file", F.concat(F.lit("redaction audit failed: "), "column", F.lit(" has "), "label").alias("reason"))
+        if not force:
+            wrong = collisions(sessions, self.read("sessions")).select(F.col("id").alias("session_id")).distinct()
+            out = out.unionByName(ids.join(wrong, "session_id", "left_semi").select("file", F.lit("the session is stored from another path, or comes from several files").alias("reason")))
+        return out.groupBy("file").agg(F.min("reason").alias("reason"))
+
     def upsert(self, sessions: DataFrame, events: DataFrame, force: bool = False) -> None:
         """Store sessions with their events in the place of earlier ones, whose claims and verdicts go too. Checks come first; a
         failure stores nothing."""

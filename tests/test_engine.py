@@ -1,7 +1,10 @@
 """The engine from transcripts to verdicts, on transcripts written here."""
 
+import hashlib
 import json
+import os
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from proofline.operators.verdicts import evaluate
 from proofline.plans import audit, evaluate as evaluation, export, mutate, reports
 from proofline.schemas import EVIDENCE
 from proofline.scratch import cut
+from proofline.sources import files
 from proofline.sources.store import Store, StoreError
 from proofline.sources.transcripts import is_json, lines, parse, read_files
 
@@ -225,20 +229,50 @@ def test_reports(flow):
 
 
 def test_export(spark, tmp_path):
-    raw = spark.createDataFrame([("s", 1, '{"a":"/Users/bob/x"}'), ("s", 2, ""), ("s", 3, '{"a":"token=1"}'), ("s", 4, "broken")], "session_id string, line int, raw string")
+    raw = spark.createDataFrame([("s", 1, '{"a":"/Users/bob/x"}'), ("s", 2, ""), ("s", 3, '{"a":"token=1"}'), ("s", 4, "broken"), ("t", 1, "é"), ("t", 2, "")], "session_id string, line int, raw string")
     done, manifest, problems = export.export(raw)
-    assert manifest.first().broken_lines == [3] and manifest.first().redaction_count == 2
+    assert manifest.where("session_id = 's'").first().broken_lines[0].line == 3 and manifest.where("session_id = 's'").first().redaction_count == 2
     assert export.write(done, manifest, problems, str(tmp_path / "no")) == ["s:3: redaction produced invalid JSON"] and not (tmp_path / "no").exists()
     done, manifest, problems = export.export(raw.where("line <> 3"))
-    assert export.write(done, manifest, problems, str(tmp_path / "yes")) == []
-    assert spark.read.text(str(tmp_path / "yes/corpus")).count() == 3
+    sources = spark.createDataFrame([("s", "/Users/bob/s.jsonl", None), ("t", "/Users/bob/t.jsonl", None), ("u", None, "gone")], "session_id string, path string, reason string")
+    assert export.write(done, manifest, problems, str(tmp_path / "yes"), sources) == []
+    assert (tmp_path / "yes/s.jsonl").read_bytes() == b'{"a":"/Users/USER/x"}\n\nbroken' and (tmp_path / "yes/t.jsonl").read_text("utf-8") == "é\n"
+    entries = json.loads((tmp_path / "yes/manifest.json").read_text("utf-8"))
+    assert [e["session_id"] for e in entries] == ["s", "t", "u"] and entries[2] == {"session_id": "u", "exported": False, "reason": "gone"}
+    for e in entries[:2]:
+        assert e["exported"] and e["sha256"] == hashlib.sha256((tmp_path / f"yes/{e['session_id']}.jsonl").read_bytes()).hexdigest()
+    assert list(entries[0]) == ["session_id", "exported", "source_path", "line_count", "redaction_count", "sha256", "broken_lines", "exported_at"] and entries[0]["source_path"] == "/Users/USER/s.jsonl"
+    assert sorted(p.name for p in (tmp_path / "yes").iterdir() if not p.name.startswith(".")) == ["manifest.json", "s.jsonl", "t.jsonl"]
     hidden = export.export(spark.createDataFrame([("s", 1, "xbobx")], "session_id string, line int, raw string"), Redaction(user="bob"))[2]
     assert rows(hidden, "problem") == [("os-username:bob",)]
 
 
+def test_physical_lines(spark, tmp_path):
+    contents = {"a": "", "b": "\n", "c": "x\r\ny\rz\n\nlast", "d": "\n".join("é" * (i % 7) for i in range(5000)) + "\n", "e": "w" * 3_000_000 + "\nv"}
+    for name, text in contents.items():
+        (tmp_path / name).write_bytes(text.encode())
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in contents] + [(str(tmp_path),), (str(tmp_path / "none"),), (None,)], "path string")
+    there = files.existing(paths)
+    assert sorted(r.path[-1] for r in there.collect()) == list(contents)
+    got = {}
+    for r in files.physical_lines(there).collect():
+        got.setdefault(r.path[-1], {})[r.line] = r.raw
+    assert {n: "\n".join(x[i + 1] for i in range(len(x))) for n, x in got.items()} == contents
+    c = sorted(files.physical_lines(there.where("path like '%/c'"), returns=True).collect(), key=lambda r: r.line)
+    assert [r.raw for r in c] == ["x", "y", "z", "", "last"]
+
+
+SMALL = (say("go", "user"), use("a", "npm test"), result("a"), say("All tests passed."))
+
+
+def as_lines(objects):
+    return "\n".join(json.dumps(x, separators=(",", ":")) for x in objects)
+
+
 def test_mutation_and_evaluation(spark, tmp_path):
-    (tmp_path / "s1.jsonl").write_text("\n".join(json.dumps(x, separators=(",", ":")) for x in (say("go", "user"), use("a", "npm test"), result("a"), say("All tests passed."))))
-    made, manifest, skipped = mutate.generate(read_files(spark, str(tmp_path)))
+    (tmp_path / "s1.jsonl").write_text(as_lines(SMALL))
+    physical = files.physical_lines(spark.createDataFrame([(str(tmp_path / "s1.jsonl"),)], "path string")).withColumnRenamed("path", "file")
+    made, manifest, skipped = mutate.generate(physical)
     manifest = manifest.persist()
     assert sorted(rows(manifest, "operator", "claim_kind")) == [("M1", "test_pass"), ("M2", "test_pass"), ("M3", "lint_clean"), ("M5", "lint_clean"), ("M6", "test_pass"), ("M7", "build_ok"), ("M7", "lint_clean")]
     assert skipped.count() == 0
@@ -246,6 +280,39 @@ def test_mutation_and_evaluation(spark, tmp_path):
     assert evaluation.mismatches(results).collect() == [] and evaluation.passed(results)
     assert "- match: 7/7 (100.0%)" in evaluation.report(results).first().markdown
     assert rows(mutate.per_operator(manifest).where("not short"), "operator") == []
+    mutate.write(made, manifest, str(tmp_path / "out"))
+    entries = json.loads((tmp_path / "out/manifest.json").read_text("utf-8"))
+    assert [e["mutant_id"] for e in entries] == ["M1-s1-test_pass", "M2-s1-test_pass", "M3-s1-lint_clean", "M5-s1-lint_clean", "M6-s1-test_pass", "M7-s1-build_ok", "M7-s1-lint_clean"]
+    sixth = entries[4]
+    assert sixth["target_lines"] == [2, 4] and sixth["mutant_file"] == "M6/s1-test_pass.jsonl" and sixth["mutant_session_id"] == "mut-m6-s1-test_pass" and sixth["notes"]
+    text = (tmp_path / "out/M6/s1-test_pass.jsonl").read_text("utf-8").split("\n")
+    assert len(text) == 5 and "npm test || true" in text[1] and '"sessionId":"mut-m6-s1-test_pass"' in text[3]
+    again, listed = evaluation.read_mutants(spark, str(tmp_path / "out"))
+    assert evaluation.passed(evaluation.evaluate(again, listed)) and listed.count() == 7
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from proofline.__main__ import _arguments, main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/s1.jsonl").write_text(as_lines(SMALL) + "\n")
+    (tmp_path / "in/s2.jsonl").write_text(as_lines([say("hi carol", "user") | {"sessionId": "s2"}]))
+    (tmp_path / "in/copy.jsonl").write_text(as_lines([say("x", "user") | {"sessionId": "s3"}]))
+    (tmp_path / "in/copy2.jsonl").write_text(as_lines([say("y", "user") | {"sessionId": "s3"}]))
+    db, corpus, out = (str(tmp_path / n) for n in ("db", "corpus", "mutants"))
+    call = lambda command, *more: main(["--user", "carol", command, *more, "--db", db])
+    assert call("ingest", str(tmp_path / "in/*.jsonl"), str(tmp_path / "in/none.jsonl")) == 1  # the others are stored
+    shown = capsys.readouterr()
+    assert "session s1, 4 lines" in shown.out and "stored 2, failed 3" in shown.out and "no such file" in shown.err and "several files" in shown.err
+    assert call("export-corpus", "--out", corpus) == 0
+    assert (tmp_path / "corpus/s1.jsonl").read_text() == as_lines(SMALL).replace("/bob", "/USER") + "\n" and "hi USER" in (tmp_path / "corpus/s2.jsonl").read_text()
+    (tmp_path / "in/s1.jsonl").unlink()  # mutation takes the masked copy
+    assert call("mutate", "--out", out, "--anonymized-dir", corpus) == 0
+    assert "7 mutants, 0 skipped" in capsys.readouterr().out
+    assert call("eval", "--mutations", out) == 0 and "- match: 7/7" in capsys.readouterr().out
+    assert _arguments(["sessions"]).user and _arguments(["--user", "", "sessions"]).user == ""
+    with pytest.raises(SystemExit):
+        main(["audit", "--all", "--extractor", "llm", "--llm-backend", "anthropic", "--db", db]) if not os.environ.get("ANTHROPIC_API_KEY") else sys.exit()
 
 
 def test_rewriting_keeps_keys():
