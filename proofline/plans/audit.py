@@ -29,8 +29,11 @@ def ingest(store: Store, paths: str | list[str], force: bool = False) -> DataFra
 def ingest_all(store: Store, paths: list[str], force: bool = False, classes: Mapping[str, list[str]] = COMMAND_CLASSES) -> tuple[DataFrame, DataFrame]:
     """Read all transcripts in one go, however many: (stored sessions, refused (file, reason)). A file that can't be stored keeps no
     other from it."""
-    spark = store.spark
-    wanted = spark.createDataFrame([(p,) for p in paths], "path string")
+    return ingest_table(store, store.spark.createDataFrame([(p,) for p in paths], "path string"), force, classes)
+
+
+def ingest_table(store: Store, wanted: DataFrame, force: bool = False, classes: Mapping[str, list[str]] = COMMAND_CLASSES) -> tuple[DataFrame, DataFrame]:
+    """ingest_all() for a table of paths (path)."""
     there = cut(existing(wanted), "there")
     missing = wanted.join(there, "path", "left_anti").select(F.col("path").alias("file"), F.lit("there is no such file").alias("reason"))
     rows = physical_lines(there.repartition("path"), returns=True).select(F.col("path").alias("file"), "line", "raw")

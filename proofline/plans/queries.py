@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,10 +21,12 @@ from proofline.operators.extractors import grounded
 from proofline.operators.pairing import paired
 from proofline.operators.verdicts import evaluate, evidence
 from proofline.plans import evaluate as evaluation
-from proofline.plans import export, mutate, reports
+from proofline.plans import audit, export, mutate, reports
 from proofline.plans.derived import derived, with_inputs
 from proofline.schemas import CLAIM_KINDS
+from proofline.scratch import cut, shared_dir
 from proofline.sources import store
+from proofline.sources.files import digests, physical_lines, write_files
 from proofline.sources.transcripts import parse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +180,25 @@ def session_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_facts(parse(derived(spark, sf_dir, "lines"))).select("file", "session_id", "version", "mismatch", "project")
 
 
+@query(with_inputs("""
+, x AS (SELECT *, event_id % 12 AS k FROM d_lines)
+, pairs AS (SELECT file, count_if(k = 6) AS results FROM x GROUP BY file)
+SELECT string_split(file, '/')[4] AS name, coalesce(arg_min(CASE k WHEN 6 THEN concat('c', user_id) ELSE concat('d', event_id) END, line) FILTER (k IN (6, 11)), concat('f', any_value(user_id))) AS session_id, string_split(any_value(file), '/')[3] AS project,
+  count_if(k <> 1) AS total_lines, count_if(k IN (0, 4)) AS parse_error_lines, count_if(k IN (2, 3)) AS unknown_type_lines, count_if(k IN (0, 2, 3, 4)) AS skipped_lines, count_if(k = 7) AS unsupported_tool_count, 2 * count_if(k = 6) + count_if(k = 8) AS invalid_block_count
+FROM x GROUP BY file
+""", "lines"))
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # transcripts are written as files and ingested into a new store, which is read
+    folder = f"{shared_dir(spark)}/proofline-ingest-{uuid.uuid4().hex}"
+    texts = derived(spark, sf_dir, "lines").select(F.regexp_replace("file", "^/t/", "").alias("path"), "line", F.col("raw").alias("text"))
+    written = cut(write_files(texts, f"{folder}/t"), "written")
+    target = store.Store(spark, f"{folder}/db", PLAIN)
+    audit.ingest_table(target, written.select(F.concat(F.lit(f"{folder}/t/"), "path").alias("path")))
+    counts = ("total_lines", "parse_error_lines", "unknown_type_lines", "skipped_lines", "unsupported_tool_count", "invalid_block_count")
+    name = F.element_at(F.split("source_path", "/"), -1)
+    return target.read("sessions").select(name.alias("name"), F.col("id").alias("session_id"), "project", *[F.col(c).cast("long").alias(c) for c in counts])
+
+
 # commands
 
 
@@ -244,17 +266,17 @@ def redact_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "secrets").select("event_id", redact(F.col("text"), PLAIN).alias("text"))
 
 
-def _count_sql() -> str:
-    """Rule after rule, each counted in what the rules before it have left."""
-    steps = ["x0 AS (SELECT event_id, text, 0 AS n FROM d_secrets)"]
+def _count_sql(source: str, last: str) -> str:
+    """Rule after rule, each counted in what the rules before it have left: the CTEs x0 (source) to x<n>, then a query of the last."""
+    steps = [f"x0 AS (SELECT event_id, text, 0 AS n FROM {source})"]
     for i, (pattern, ignore_case, _) in enumerate([*REDACT_RULES, (r"\bJIRA-\d+\b", False, "TICKET-N")]):
         p = (("(?i)" if ignore_case else "") + pattern).replace(r"\/", "/").replace(r"[\s\S]", r"(?s:.)").replace("'", "''")
         masked = _redact_sql("text", [REDACT_RULES[i]], ticket=False) if i < len(REDACT_RULES) else _redact_sql("text", [])
         steps.append(f"x{i + 1} AS (SELECT event_id, {masked} AS text, n + len(regexp_extract_all(text, '{p}')) AS n FROM x{i})")
-    return ", " + ", ".join(steps) + f" SELECT event_id, CAST(n AS BIGINT) AS n FROM x{len(steps) - 1}"
+    return ", " + ", ".join(steps) + " " + last.format(f"x{len(steps) - 1}")
 
 
-@query(with_inputs(_count_sql(), "secrets"))
+@query(with_inputs(_count_sql("d_secrets", "SELECT event_id, CAST(n AS BIGINT) AS n FROM {}"), "secrets"))
 def redaction_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_with_count(derived(spark, sf_dir, "secrets"), "text", "masked", "n", PLAIN).select("event_id", F.col("n").cast("long").alias("n"))
 
@@ -549,7 +571,27 @@ def export_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.export(rows, PLAIN)[1].select("session_id", "line_count", "sha256")
 
 
-@query()
+@query(with_inputs(f"""
+, x AS (SELECT concat('s', event_id % 50) AS session_id, event_id AS line, {_redact_sql('text')} AS t FROM d_secrets)
+ SELECT session_id, count(*) AS lines, sha256(string_agg(t, chr(10) ORDER BY line)) AS sha256, sum(strlen(t)) + count(*) - 1 AS bytes FROM x GROUP BY session_id
+""", "secrets"))
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # masked transcripts are written as files; lines, bytes and hash are those of the files as they are read again
+    folder = f"{shared_dir(spark)}/proofline-export-{uuid.uuid4().hex}"
+    line = F.row_number().over(Window.partitionBy(F.col("event_id") % 50).orderBy("event_id"))
+    rows = derived(spark, sf_dir, "secrets").select(F.concat(F.lit("s"), (F.col("event_id") % 50).cast("string")).alias("session_id"), line.alias("line"), F.col("text").alias("raw"))
+    lines, manifest, problems = export.export(rows, PLAIN)
+    wrong = export.write(lines, manifest, problems, folder)
+    if wrong:
+        raise ValueError(str(wrong))
+    read = cut(physical_lines(lines.select(F.concat(F.lit(f"{folder}/"), "session_id", F.lit(".jsonl")).alias("path")).distinct()), "read")
+    counts = read.groupBy("path").agg(F.count("*").alias("lines"), (F.sum(F.octet_length("raw")) + F.count("*") - 1).alias("bytes"))
+    hashes = digests(read.withColumnRenamed("raw", "text"), "path")
+    return counts.join(hashes, "path").select(F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"), "lines", "sha256", "bytes")
+
+
+@query(with_inputs(""", raws AS (SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN concat('{"a":"token=', event_id, '"}') ELSE to_json({text: text}) END AS VARCHAR) AS text FROM d_secrets)
+""" + _count_sql("raws", "SELECT event_id, CAST(n AS INT) AS count, json_valid(r.text) AND NOT json_valid(x.text) AS broken FROM {} x JOIN raws r USING (event_id)"), "secrets"))
 def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a":"token='), F.col("event_id").cast("string"), F.lit('"}'))).otherwise(F.to_json(F.struct("text")))
     return export.redacted_lines(derived(spark, sf_dir, "secrets").select("event_id", raw.alias("raw")), PLAIN).select("event_id", "count", "broken")
@@ -638,7 +680,12 @@ def mutants_per_operator_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.per_operator(mutate.edits(*_mutable(spark, sf_dir, whole=True)))
 
 
-@query()
+@query(with_inputs(f"""
+, x AS (SELECT event_id % 100 AS k, CAST(floor(event_id / 100) AS INT) + 1 AS line, command FROM d_commands WHERE event_id % 100 IN (SELECT event_id FROM d_commands WHERE event_id < 100))
+, edited AS (SELECT k, line, to_json({{type: 'assistant', "sessionId": concat('mut-m3-s', k, '-test_pass'), message: {{content: CASE WHEN line = 1 THEN concat(command, '{mutate.SEPARATOR}', 'All tests passed.') ELSE command END}}}}) AS raw FROM x)
+, every AS (SELECT k, 0 AS line, '{{}}' AS raw FROM x WHERE line = 1 UNION ALL SELECT k, line, CAST(raw AS VARCHAR) FROM edited)
+SELECT concat('M3-s', k, '-test_pass') AS mutant_id, 'M3' AS operator, 'test_pass' AS kind, row_number() OVER (PARTITION BY k ORDER BY line) AS line, raw FROM every
+""", "commands"))
 def mutate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.to_json(F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("s"), (F.col("event_id") % 100).cast("string")).alias("sessionId"), F.struct(F.col("command").alias("content")).alias("message")))
     rows = derived(spark, sf_dir, "commands").select(F.concat(F.lit("s"), (F.col("event_id") % 100).cast("string")).alias("session_id"), (F.floor(F.col("event_id") / 100) + 1).cast("int").alias("line"), text.alias("raw"))

@@ -1,7 +1,7 @@
 """The store: the tables sessions, events, claims and verdicts as Parquet, partitioned by a hash of the session.
 
-Replacing a session rewrites only the partitions that hold incoming sessions: old rows are left out by an anti join, new ones are
-added, the result is written aside and then moved over these partitions alone.
+New sessions are appended. Replacing a session rewrites only the partitions that hold incoming sessions: old rows are left out by an
+anti join, new ones are added, the result is written aside and then moved over these partitions alone.
 """
 
 from __future__ import annotations
@@ -120,6 +120,10 @@ class Store:
             return
         old = self.read(name).withColumn("bucket", self._bucket(F.col(key))).where(F.col("bucket").isin(touched)).drop("bucket")
         old = old if key == "session_id" else old.withColumn("session_id", F.col("id"))
+        if not old.join(incoming, "session_id", "left_semi").limit(1).count():  # nothing to replace: what is there stays as it is
+            rows = new.select(*self.schemas[name].names).withColumn("bucket", self._bucket(F.col(key)))
+            rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self._path(name))
+            return
         kept = without_sessions(old, incoming)
         kept = kept if key == "session_id" else kept.drop("session_id")
         rows = kept.unionByName(new.select(*kept.columns)).withColumn("bucket", self._bucket(F.col(key)))
