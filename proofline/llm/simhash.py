@@ -118,15 +118,16 @@ def stars(fps: DataFrame, error: int, chunk: int = 200_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(fps[linked].view(np.int64)), pa.array(fps[label[linked]].view(np.int64))], names=["a", "b"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        rows = 0
+        for batch in filter(len, batches):
             held.append((batch.column("key").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
-            if sum(len(k) for k, _ in held) >= chunk:  # whole tries only: the last may go on
+            rows += batch.num_rows
+            if rows >= chunk and held[0][0][0] != held[-1][0][-1]:  # whole tries only: the last may go on
                 keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.searchsorted(keys, keys[-1]))
-                if cut:
-                    yield joined(keys[:cut], fps[:cut])
-                held = [(keys[cut:], fps[cut:])]
-        if held and sum(len(k) for k, _ in held):
+                yield joined(keys[:cut], fps[:cut])
+                held, rows = [(keys[cut:], fps[cut:])], len(keys) - cut
+        if rows:
             yield joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
