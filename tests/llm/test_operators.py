@@ -167,6 +167,84 @@ def test_quotes(spark):
     assert quotes.link(messages.limit(0)).count() == 0
 
 
+def brute_quotes(rows):
+    """link() by loops over distinct rows (conv_id, turn, role, text), without attributions and white space at lines' starts."""
+
+    def paragraphs(lines):
+        parts, now = [], []
+        for x in [*lines, ""]:
+            if x.strip():
+                now.append(x)
+            elif now:
+                parts.append(" ".join(" ".join(now).split()).lower())
+                now = []
+        return parts
+
+    held, quotes, body = {}, {}, {}
+    for key in rows:
+        lines = key[3].split("\n")
+        level = [len(x) - len(x.lstrip(">")) for x in lines]
+        own = [x if not n else "" for x, n in zip(lines, level, strict=True)]
+        body[key] = "\n\n".join("\n".join(g) for g in _gaps(own)).strip()
+        for passage in paragraphs(own):
+            held.setdefault(passage, set()).add(key[:2])
+        quotes[key] = [q for n in sorted(set(level) - {0}) for q in paragraphs([x.lstrip(">").removeprefix(" ") if m == n else "" for x, m in zip(lines, level, strict=True)])]
+    reply, origin = {}, {}
+    for key, asked in quotes.items():
+        for q in asked:
+            mine = min((t for c, t in held.get(q, ()) if c == key[0]), default=None)
+            other = min((x for x in held.get(q, ()) if x[0] != key[0]), default=None)
+            found = (key[0], mine) if mine is not None and mine < key[1] else other
+            if found and key not in origin:
+                origin[key] = found
+            if found and found[0] == key[0] and key not in reply:
+                reply[key] = mine
+    out = []
+    for key in rows:
+        depth, turn = 0, key[1]
+        while True:
+            up = next((reply[k] for k in rows if k[:2] == (key[0], turn) and k in reply), None)
+            if up is None:
+                break
+            depth, turn = depth + 1, up
+        out.append((key[0], key[1], body[key], len(quotes[key]), *(origin.get(key) or (None, None)), reply.get(key), turn, depth))
+    place = {}
+    for r in sorted(out, key=lambda r: (r[0], r[7], r[8], r[1])):
+        place.setdefault(r[0], []).append(r[1])
+    return sorted((*r, place[r[0]].index(r[1]) + 1) for r in out)
+
+
+def _gaps(lines):
+    """Runs of lines with text."""
+    runs, now = [], []
+    for x in [*lines, ""]:
+        if x.strip():
+            now.append(x)
+        elif now:
+            runs.append(now)
+            now = []
+    return runs
+
+
+def test_quotes_against_loops(spark):
+    rng = random.Random(17)
+    said = ["Yes.", "No way", "so be\nit", "one two", "THREE  four", "five"]  # few, so that texts repeat and quotes have several origins
+    rows = []
+    for conv in range(12):
+        for turn in range(rng.choice([1, 4, 9, 40])):
+            parts = []
+            for _ in range(rng.randint(0, 4)):
+                level = rng.choice([0, 0, 1, 1, 2, 3])
+                text = rng.choice(said) if rng.random() < 0.8 else f"only {conv} {turn}"
+                parts.append("\n".join(">" * level + (" " if level else "") + x for x in text.split("\n")))
+            if conv % 3 == 0:  # a long thread
+                parts = [f"> line {conv} {turn - rng.randint(1, 2)}", *parts, f"line {conv} {turn}"]
+            rows.append((conv, turn, "u", rng.choice(["\n", "\n\n"]).join(parts) if parts else ""))
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    shown = sorted((r.conv_id, r.turn, r.body, r.n_quotes, r.origin_conv, r.origin_turn, r.reply_to, r.thread_turn, r.depth, r.position) for r in got)
+    assert shown == brute_quotes(rows) and max(r.depth for r in got) > 5
+
+
 def test_quotes_do_not_use_python(spark):
     messages = spark.createDataFrame([(1, 0, "u", "> a")], "conv_id long, turn long, role string, text string")
     plan = quotes.link(messages)._jdf.queryExecution().toString()
