@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,14 @@ class Forest:
     top: int
     sizes: np.ndarray | None = None
 
+    @cached_property
+    def cut_lists(self) -> list[list[float]]:
+        return self.cuts.tolist()
+
+    @cached_property
+    def size_lists(self) -> list[list[float]]:
+        return self.sizes.tolist()
+
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree: [n, tree]."""
         out = np.empty((len(x), len(self.directions)), np.int64)
@@ -58,31 +67,36 @@ class Forest:
         """
         p = np.einsum("tld,d->tl", self.directions, q) * alike
         scale = 1.702 / (np.sqrt(1 - alike * alike) * self.spread)  # the logistic curve that is closest to the normal one
-        p, scale, level_cuts, cuts = p.tolist(), scale.tolist(), self.level_cuts.tolist(), self.cuts
         depth, top, inner, below = self.depth, self.top, 1 << self.depth, 1 << (self.depth - self.top)
+        z = ((p - self.level_cuts) * scale).tolist()  # distances to the cuts, in that curve's units
+        p, scale, cuts, sizes = p.tolist(), scale.tolist(), self.cut_lists, self.size_lists
+        far = [[abs(x) for x in row] for row in z]
+        # below the nodes with cuts of their own, the likelier way is the same from every node
+        tails = [[sum((x > 0) << (depth - 1 - level - i) for i, x in enumerate(row[level:])) for level in range(depth + 1)] for row in z]
         queue, out, held = [], [], 0.0
-
-        def down(t: int, node: int, level: int) -> list[float]:
-            """The distances to the cuts, in the logistic curve's units, on the likelier way from a node to a leaf, and that leaf."""
-            way, of_tree, scale_of, level_cut = [], p[t], scale[t], level_cuts[t]
-            while level < depth:
-                z = (of_tree[level] - (cuts[t, node] if level < top else level_cut[level])) * scale_of[level]
-                node = 2 * node + (z > 0)
+        push, pop = heapq.heappush, heapq.heappop
+
+        def down(t: int, node: int, level: int) -> tuple[int, list[float]]:
+            """The leaf at the end of the likelier way from a node, and the distances to the cuts on it."""
+            way = []
+            while level < top:
+                x = (p[t][level] - cuts[t][node]) * scale[t][level]
+                node = 2 * node + (x > 0)
                 level += 1
-                way.append(abs(z))
-            return [*way, node]
+                way.append(abs(x))
+            return (node << (depth - level)) | tails[t][level], way + far[t][level:]
 
         for t in range(len(p)):  # minus the logarithm of the likeliest leaf's probability; another side adds its distance to that
-            queue.append((float(np.log1p(np.exp(-np.array(down(t, 1, 0)[:-1]))).sum()), t, 1, 0))
+            queue.append((float(np.log1p(np.exp(-np.array(down(t, 1, 0)[1]))).sum()), t, 1, 0))
         heapq.heapify(queue)
         while queue and held < wanted:
-            cost, t, node, level = heapq.heappop(queue)
-            *way, leaf = down(t, node, level)
-            for z in way:
+            cost, t, node, level = pop(queue)
+            leaf, way = down(t, node, level)
+            for x in way:
                 level += 1
-                heapq.heappush(queue, (cost + z, t, (leaf >> (depth - level)) ^ 1, level))
+                push(queue, (cost + x, t, (leaf >> (depth - level)) ^ 1, level))
             out.append((t, leaf - inner))
-            held += self.sizes[t, leaf >> (depth - top)] / below
+            held += sizes[t][leaf >> (depth - top)] / below
         return out
 
 
@@ -116,7 +130,7 @@ def budget(n: int) -> float:
     return 6 * n**0.75
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 10, leaf_rows: int = 16, cell_rows: int = 4096, alike: float = 0.4, sample: int = 20_000) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 10, leaf_rows: int = 32, cell_rows: int = 4096, alike: float = 0.4, sample: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row among all other rows of (vec_id, embedding).
 
     Nearness is the inner product; equal ones go to the smaller vec_id. Vectors are lifted by one component to equal norms before
