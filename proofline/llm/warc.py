@@ -23,6 +23,8 @@ from proofline.llm.common import Scratch, prepare
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
+#: Tasks of one read.
+MOST_TASKS = 50_000
 RECORD = "record_type string, target_uri string, record_id string, refers_to_id string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -106,6 +108,11 @@ class _Source:
         if at - self.base >= CHUNK:
             self.data, self.base = self.data[at - self.base :], at
 
+    def back(self, at: int) -> None:
+        if at < self.base:
+            self.file.seek(at)
+            self.data, self.base = b"", at
+
 
 def _header(data: bytes) -> dict[str, str] | None:
     """The fields of a WARC header at the start of data; None if it is none or not whole."""
@@ -120,7 +127,7 @@ def scan(file: fs.NativeFile, start: int, end: int, max_header: int = 1 << 20) -
     """(offset, header, block) of the members that start in [start, end) and hold a whole WARC record.
 
     The magic bytes also occur by chance inside members. Such a place is passed over, since what follows doesn't inflate to a
-    WARC header; after a member that was read whole, the search goes on behind it.
+    WARC header of at most max_header bytes; after a member that was read whole, the search goes on behind it.
     """
     source, at = _Source(file, start), start
     while at < end:
@@ -136,7 +143,6 @@ def scan(file: fs.NativeFile, start: int, end: int, max_header: int = 1 << 20) -
             return
         source.forget(at)
         unpack, text, pos, fields, good = zlib.decompressobj(31), [], at, None, True
-        size = 0
         try:
             while not unpack.eof:
                 if pos - source.base >= len(source.data) and not source.more():
@@ -144,8 +150,9 @@ def scan(file: fs.NativeFile, start: int, end: int, max_header: int = 1 << 20) -
                 piece = source.data[pos - source.base : pos - source.base + (1 << 16)]
                 got = unpack.decompress(piece)
                 pos += len(piece) - len(unpack.unused_data)
+                if fields is not None:  # most likely a record; should it not end well, the file is read again from here
+                    source.forget(pos)
                 text.append(got)
-                size += len(got)
                 if fields is None:
                     head = b"".join(text)
                     text = [head]
@@ -157,6 +164,7 @@ def scan(file: fs.NativeFile, start: int, end: int, max_header: int = 1 << 20) -
             good = False
         if not good or not unpack.eof or fields is None:
             at += 1
+            source.back(at)
             continue
         record = b"".join(text)
         body = record.index(b"\r\n\r\n") + 4
@@ -204,7 +212,7 @@ def read(spark: SparkSession, files: DataFrame, split_bytes: int = 16 << 20) ->
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
 
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, RECORD)  # a range for each task
+    return ranges.repartition(max(1, min(ranges.count(), MOST_TASKS))).mapInArrow(run, RECORD)  # a range for each task, or a few
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, split_bytes: int = 16 << 20) -> DataFrame:
