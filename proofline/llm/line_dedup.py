@@ -147,35 +147,32 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (key, place, id): (id, earlier) for lines with an earlier near one. Needs no more than the last row's state."""
-    key = place = None
-    whole = whole_best = first = None
+    last = (0, 0)  # key and place
+    first = whole = -1  # of the last key: the first id of its last place, and the line that has it as its own
     for batch in batches:
-        later, earlier = [], []
-        keys, places, ids = (batch.column(c).to_pylist() for c in ("key", "place", "id"))
-        for k, p, i in zip(keys, places, ids, strict=True):
-            if k != key:
-                if whole_best is not None:
-                    later.append(whole)
-                    earlier.append(whole_best)
-                key, place, whole, whole_best, first = k, None, None, None, None
-            if p == -1:
-                whole = i if whole is None else whole
-                continue
-            if p != place:
-                place, first = p, i
-            elif first != i:
-                later.append(i)
-                earlier.append(first)
-            if whole is not None and whole != i:
-                if whole < i:
-                    later.append(i)
-                    earlier.append(whole)
-                elif whole_best is None or i < whole_best:
-                    whole_best = i
-        if later:
-            yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(earlier, pa.int64())], names=["id", "earlier"])
-    if whole_best is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([whole], pa.int64()), pa.array([whole_best], pa.int64())], names=["id", "earlier"])
+        key, place, ids = (batch.column(c).to_numpy() for c in ("key", "place", "id"))
+        if not len(key):
+            continue
+        row = np.arange(len(key))
+        new_key = np.concatenate(([first < 0 or key[0] != last[0]], key[1:] != key[:-1]))
+        new_place = new_key | np.concatenate(([place[0] != last[1]], place[1:] != place[:-1]))
+        at_place, at_key = (np.maximum.accumulate(np.where(x, row, -1)) for x in (new_place, new_key))
+        first_of = np.where(at_place < 0, first, ids[at_place])
+        whole_of = np.where(at_key < 0, whole, np.where(place[at_key] == -1, ids[at_key], -1))
+        variant = place != -1
+        same = variant & (first_of != ids)
+        after = variant & (whole_of >= 0) & (whole_of < ids)
+        before = variant & (whole_of > ids)
+        # a line that lacks nothing has in each batch one earlier line of those that lack a word
+        run = np.cumsum(new_key)
+        best = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(best, run[before], ids[before])
+        some = np.unique(run[before], return_index=True)[1]
+        later = np.concatenate((ids[same], ids[after], whole_of[before][some]))
+        earlier = np.concatenate((first_of[same], whole_of[after], best[run[before][some]]))
+        last, first, whole = (key[-1], place[-1]), int(first_of[-1]), int(whole_of[-1])
+        if len(later):
+            yield pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier)], names=["id", "earlier"])
 
 
 def _keyed(docs: DataFrame) -> list[Column]:
@@ -223,14 +220,22 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None =
     one = keyed.join(wanted, ["doc", "th"]).select("text", "picks")
     texts = scratch.keep(map_batches(one, cut, "id long, text string").dropDuplicates(["id"]), "texts")
     found = _variants(texts).repartition("key").sortWithinPartitions("key", "place", "id").mapInArrow(_links, "id long, earlier long")
-    linked = found.groupBy("id").agg(F.min("earlier").alias("earlier"))
-    pairs = linked.join(texts, "id").join(texts.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
+    found = scratch.keep(found.distinct(), "found")
 
     def verify(batch: pa.RecordBatch) -> dict:
         good = [i for i, (a, b) in enumerate(zip(batch.column("text"), batch.column("other"), strict=True)) if near(words_of(a.as_py()), words_of(b.as_py()))]
         return {"id": batch.column("id").take(pa.array(good, pa.int64()))}
 
-    close = scratch.keep(numbered.join(map_batches(pairs.select("id", "text", "other"), verify, "id long"), "id", "left_semi").select("h1", "h2"), "near")
+    def verified(links: DataFrame) -> DataFrame:
+        pairs = links.join(texts, "id").join(texts.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
+        return map_batches(pairs.select("id", "text", "other"), verify, "id long").distinct()
+
+    # a line's earliest candidate is near but for chance equality of hashes; all others are tried only then
+    linked = found.groupBy("id").agg(F.min("earlier").alias("earlier"))
+    near_ids = scratch.keep(verified(linked), "near_ids")
+    near_ids = near_ids.unionByName(verified(found.join(linked.select("id").join(near_ids, "id", "left_anti"), "id", "left_semi")))
+    close = scratch.keep(numbered.join(near_ids, "id", "left_semi").select("h1", "h2"), "near")
+    scratch.drop(maybe, texts, found, numbered)
     near_rows = lines.select("doc", "th", "line", "h1", "h2").join(close, ["h1", "h2"], "left_semi")
     both = exact.withColumn("kind", F.lit("exact")).unionByName(near_rows.withColumn("kind", F.lit("near")))
     return both.groupBy("doc", "th", "line").agg(F.min("kind").alias("kind"))
