@@ -1,7 +1,8 @@
 """SimHash near-dedup: fingerprints of word shingles, linked by a self-join of binary tries.
 
 Each distinct fingerprint goes to error+1 tries, one for each of as many blocks of its bits: of two fingerprints that differ
-in at most `error` bits, one block at least is equal, so both meet in its trie. In a trie, pairs of nodes are followed together
+in at most `error` bits, one block at least is equal, so both meet in its trie. A trie of very many fingerprints is dealt out in the
+same way, by error+1 blocks of its other bits. In a trie, pairs of nodes are followed together
 from the root down; the differing bits add up, and a pair beyond the error budget ends there. A trie gives not pairs but a star
 for each of its components, so a large group of near copies costs as many rows as it has members.
 """
@@ -103,10 +104,29 @@ def trie_stars(fps: np.ndarray, groups: np.ndarray, error: int) -> np.ndarray:
     return label
 
 
-def stars(fps: DataFrame, error: int, chunk: int = 200_000) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all fingerprints within `error` bits, one star for each trie's component."""
+def _masks(width: int, error: int) -> list[list[int]]:
+    """For each block of `width` bits: error+1 masks that share out all other bits, as signed numbers."""
+    out = []
+    for at in range(0, 64, width):
+        rest = [b for b in range(64) if not at <= b < at + width]
+        values = [sum(1 << b for b in part.tolist()) for part in np.array_split(rest, error + 1)]
+        out.append([v - (1 << 64) if v >= 1 << 63 else v for v in values])
+    return out
+
+
+def stars(fps: DataFrame, error: int, chunk: int = 200_000, most: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect all fingerprints within `error` bits, one star for each trie's component.
+
+    Tries of more than `most` fingerprints are dealt out once more; there are at most (error+1) * 2**width of them.
+    """
     width = -(-64 // (error + 1))
     keys = F.array(*[F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << min(width, 64 - at)) - 1)) * (error + 1) + i for i, at in enumerate(range(0, 64, width))])
+    keyed = fps.select("fp", F.posexplode(keys).alias("block", "key"))
+    large = [r["key"] for r in keyed.groupBy("key").count().where(F.col("count") > most).select("key").collect()]
+    if large:
+        part = lambda j: F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m[j]) for m in _masks(width, error)]), F.col("block") + 1))
+        again = F.array(*[F.xxhash64("key", F.lit(j), part(j)) for j in range(error + 1)])  # tries that share a hash are one trie, which does no harm
+        keyed = keyed.select("fp", F.explode(F.when(F.col("key").isin(large), again).otherwise(F.array("key"))).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
@@ -130,7 +150,7 @@ def stars(fps: DataFrame, error: int, chunk: int = 200_000) -> DataFrame:
         if rows:
             yield joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    dealt = fps.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    dealt = keyed.select("fp", "key").repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(run, "a long, b long")
 
 

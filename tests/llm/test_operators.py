@@ -355,6 +355,27 @@ def test_trie_join_against_all_pairs(spread):
     assert (label == want).all()
 
 
+@pytest.mark.parametrize("most", [5, 1 << 20])
+def test_large_tries_are_dealt_out(spark, most):
+    rng = np.random.default_rng(40)
+    fps = np.unique(rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 600)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (600, 3), dtype=np.uint64), axis=1))
+    fps = np.concatenate((fps, np.arange(1 << 8, dtype=np.uint64) << np.uint64(20)))  # many that share four blocks
+    edges = simhash.stars(spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long"), 4, most=most).collect()
+    place = {int(v): i for i, v in enumerate(fps.view(np.int64))}
+    want, got = np.arange(len(fps)), np.arange(len(fps))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    links = np.eye(len(fps), dtype=bool)
+    for r in edges:
+        links[place[r.a], place[r.b]] = links[place[r.b], place[r.a]] = True
+    for label, table in ((want, near), (got, links)):
+        while True:
+            new = np.array([label[row].min() for row in table])
+            if (new == label).all():
+                break
+            label[:] = new
+    assert (want == got).all()
+
+
 def test_similar_documents_against_all_pairs(spark):
     rng = random.Random(12)
     base = [prose(rng, rng.randint(3, 120)) for _ in range(30)]
