@@ -130,7 +130,7 @@ def budget(n: int) -> float:
     return 6 * n**0.75
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 10, leaf_rows: int = 32, cell_rows: int = 4096, alike: float = 0.4, sample: int = 20_000) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 14, leaf_rows: int = 24, cell_rows: int = 4096, alike: float = 0.4, sample: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row among all other rows of (vec_id, embedding).
 
     Nearness is the inner product; equal ones go to the smaller vec_id. Vectors are lifted by one component to equal norms before
@@ -187,7 +187,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 10, leaf
     held = placed.select(F.posexplode("leaves").alias("tree", "leaf"), "key", "embedding", "ids").withColumn("node", F.shiftright("leaf", below))
     # cells of many more rows than meant are dealt to several tasks
     large = at.groupBy("tree", F.shiftright("leaf", below).alias("node")).count().where(F.col("count") > 2 * cell_rows)
-    large = scratch.keep(large.select("tree", "node", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")), "large")
+    large = scratch.keep(large.select("tree", "node", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")), "large", small=True)
     parts = F.coalesce("parts", F.lit(1))
     held = held.join(large, ["tree", "node"], "left").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
     visits = visits.join(large, ["tree", "node"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
