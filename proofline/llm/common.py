@@ -46,9 +46,10 @@ class Scratch:
         self.n += 1
         return f"{self.folder}/{self.n}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """small: a table of few and short rows, which as many files as there are cores can hold, however many tasks make it."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df.repartition(max(1, self.spark.sparkContext.defaultParallelism)) if small else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -144,10 +145,10 @@ def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFr
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", small=True)
     seen = state(now)
     while seen[0]:
-        new = scratch.keep(star(star(now, True), False), "edges")
+        new = scratch.keep(star(star(now, True), False), "edges", small=True)
         scratch.drop(now)
         now, before, seen = new, seen, state(new)
         if seen == before:

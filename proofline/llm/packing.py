@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from proofline.llm.common import Scratch, map_batches, prepare
 
 #: Units whose ids a Python worker keeps, and slots of the table that finds them.
-CACHE_UNITS, SLOT_BITS = 2_000_000, 22
+CACHE_UNITS, SLOT_BITS = 1_000_000, 21
 #: Pieces in a group, about.
 GROUP_PIECES = 20_000
 #: Bytes of text, and new units, that are handled together.
-TEXT_BYTES, STEMS = 1 << 20, 256
+TEXT_BYTES, STEMS = 1 << 19, 256
 #: Units of more bytes are hashed one by one.
 LONG = 255
 
@@ -63,10 +63,11 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.ascii, self.latin = (Tokenizer.from_file(path) for _ in range(3))
-        self.ascii.normalizer = self.latin.normalizer = None
-        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # bytes under 128 stand for themselves
-        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        # the signs that stand for the bytes of letters beyond ASCII; bytes under 128 stand for themselves
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {code: signs.pre_tokenize_str(chr(code))[0][0] for code in range(0xC0, 0x180)}
         self.special = sorted(t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -76,7 +77,7 @@ class Ids:
 
     def clear(self) -> None:
         self.keys, self.numbers = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
-        self.first, self.count, self.store = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.first, self.count, self.store = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
         self.n_units = self.n_ids = 0
 
     def plain(self, text: str) -> np.ndarray:
@@ -119,10 +120,10 @@ class Ids:
     def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
         """New units: their different hashes, how many ids each has, and all the ids."""
         n, more = self.n_units + len(h), self.n_ids + len(ids)
-        if n > len(self.first):
-            self.first, self.count = (np.concatenate((x, np.zeros(max(n, len(x)), x.dtype))) for x in (self.first, self.count))
+        if n > len(self.first):  # arrays grow by a half
+            self.first, self.count = (np.concatenate((x, np.zeros(max(n, len(x) // 2), x.dtype))) for x in (self.first, self.count))
         if more > len(self.store):
-            self.store = np.concatenate((self.store, np.zeros(max(more, len(self.store)), np.uint32)))
+            self.store = np.concatenate((self.store, np.zeros(max(more, len(self.store) // 2), np.uint32)))
         self.first[self.n_units : n], self.count[self.n_units : n] = self.n_ids + np.cumsum(counts) - counts, counts
         self.store[self.n_ids : more] = ids
         number, slot = np.arange(self.n_units, n), (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -137,22 +138,21 @@ class Ids:
 
     def learn(self, units: list[bytes], h: np.ndarray) -> None:
         texts = b"\n".join(units).decode("utf-8", "replace").split("\n")
-        kinds: tuple[list[int], list[int], list[int]] = [], [], []
+        plain, other = [], []
         for i, text in enumerate(texts):
-            kinds[(0 if len(text) == len(units[i]) else 1) if LETTERS.fullmatch(text) else 2].append(i)
-        for tokenizer, some in ((self.ascii, kinds[0]), (self.latin, kinds[1])):
-            for at in range(0, len(some), STEMS):
-                few = some[at : at + STEMS]
-                words = [texts[i].lower() for i in few]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-                last = np.flatnonzero(self.word_ends[ids])
-                if len(last) == len(few):
-                    self.add(h[few], np.diff(last, prepend=-1), ids)
-                else:
-                    kinds[2].extend(few)
-        if kinds[2]:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in kinds[2]], add_special_tokens=False)]
-            self.add(h[kinds[2]], np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
+            (plain if LETTERS.fullmatch(text) else other).append(i)
+        for at in range(0, len(plain), STEMS):
+            few = plain[at : at + STEMS]
+            words = [texts[i] if len(texts[i]) == len(units[i]) else texts[i].lower().translate(self.signs) for i in few]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.word_ends[ids])
+            if len(last) == len(few):
+                self.add(h[few], np.diff(last, prepend=-1), ids)
+            else:
+                other.extend(few)
+        if other:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)]
+            self.add(h[other], np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
 
     def joined(self, parts: list[bytes]) -> list[np.ndarray]:
         """The ids of each part, all of them in lower case."""
@@ -265,13 +265,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, gro
     """pieces() with sequence_id and offset: sequences of at most `size` tokens, without gaps from offset 0.
 
     Null and empty texts are one piece of end_id. Repeated rows are packed each. A null doc_id stays null; its pieces are packed
-    like any other's. An empty table gives no rows. Other columns are not read. The result doesn't depend on how rows were dealt
-    to tasks, but for rows that are equal, which may change places.
+    like any other's. An empty table gives no rows. Other columns are not read. Groups are drawn by a row's contents and its place
+    in the written table of pieces, so two runs may pack alike documents into other sequences.
     """
     spark = docs.sparkSession
     cut = Scratch(spark, "packing").keep(pieces(docs, tokenizer, end_id, size), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    group = F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.lit(seed)), F.lit(groups))
+    # a row's place in the written table, so that copies of a row are dealt out too
+    group = F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups))
     arrow = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def packed(rows: pa.Table) -> pa.RecordBatch:

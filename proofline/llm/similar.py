@@ -26,7 +26,7 @@ HASH, BITS, PAIRS = 50, 1024, 1 << 16
 #: Documents in the sample, and shingles of it that come last in the order.
 SAMPLE, FREQUENT = 20_000, 100_000
 #: In texts of more than WHOLE shingles, the shared ones are counted over this share of the hashes.
-SHARE, WHOLE = 0.4, 64
+SHARE, WHOLE = 0.3, 64
 #: What a shingle's row says instead of a number: it counts, or it is there for others only.
 COUNTED, SENT = -1, -2
 
@@ -91,7 +91,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(percent: int, closest: bool):  # noqa: ANN202
-    """Of rows sorted by (key, id): pairs (id, earlier, apart) that sizes and bitmaps do not rule out, for rows not done.
+    """Of rows sorted by (key, doc, th): pairs of th (th, earlier, apart) that sizes and bitmaps do not rule out, for rows not done.
 
     apart: by how many bits the bitmaps differ, for a thousand of the sizes' sum. closest: only the earlier row with the smallest.
     """
@@ -120,7 +120,7 @@ def _pairs(percent: int, closest: bool):  # noqa: ANN202
                 x, one = np.unique(x, return_index=True)
                 y, apart = y[one], apart[one]
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(apart)], names=["id", "earlier", "apart"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(apart)], names=["th", "earlier", "apart"])
             at = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _pairs(percent: int, closest: bool):  # noqa: ANN202
             if not batch.num_rows:
                 continue
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            new = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "size")), bits, batch.column("done").to_numpy(zero_copy_only=False)]
+            new = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "th", "size")), bits, batch.column("done").to_numpy(zero_copy_only=False)]
             cut = int(np.searchsorted(new[0], new[0][-1])) if last is None or new[0][-1] != last else 0
             if cut or (held and new[0][0] != last):  # whole groups only: the last may go on
                 yield from of(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in new], strict=True)))
@@ -182,11 +182,9 @@ def keep_unlike(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     rows = map_batches(keyed.select("th", "text"), sent, "key long, th long, need int")
     counts = rows.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_counts, "th long, n long")
-    maybe = scratch.keep(counts.groupBy("th").agg(F.sum("n").alias("n")).where("n >= 0").select("th"), "maybe")
+    maybe = counts.groupBy("th").agg(F.sum("n").alias("n")).where("n >= 0").select("th")
     firsts = scratch.keep(keyed.groupBy("th").agg(F.min("doc").alias("doc")), "firsts")
-    ranged = firsts.join(maybe, "th", "left_semi").repartitionByRange("doc", "th").sortWithinPartitions("doc", "th")
-    numbered = scratch.keep(ranged.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    texts = scratch.keep(keyed.join(numbered, ["doc", "th"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    some = firsts.join(maybe, "th", "left_semi")
 
     def sketch(batch: pa.RecordBatch) -> dict:
         owner, key, size = shingle_sets(_words(batch.column("text")), width, frequent)
@@ -195,28 +193,28 @@ def keep_unlike(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         rank = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
         early = rank <= (100 - percent) * size[owner] // 100
         keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.bincount(owner[early], minlength=len(size)).cumsum())), pa.int32()), pa.array(key[early]))
-        return {"id": batch.column("id"), "size": size, "bits": [x.tobytes() for x in np.packbits(bits, axis=1)], "keys": keys}
+        return {c: batch.column(c) for c in ("doc", "th", "text")} | {"size": size, "bits": [x.tobytes() for x in np.packbits(bits, axis=1)], "keys": keys}
 
-    sketches = scratch.keep(map_batches(texts, sketch, "id long, size long, bits binary, keys array<long>"), "sketches")
-    dealt = sketches.select("id", F.explode("keys").alias("key"))
-    dealt = scratch.keep(dealt.join(dealt.groupBy("key").count().where("count > 1").select("key"), "key"), "dealt")
+    texts = keyed.join(some, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text")
+    sketches = scratch.keep(map_batches(texts, sketch, "doc long, th long, text string, size long, bits binary, keys array<long>"), "sketches")
+    dealt = sketches.select("doc", "th", "size", "bits", F.explode("keys").alias("key"))
+    dealt = dealt.join(sketches.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "key")
 
     def verify(batch: pa.RecordBatch) -> dict:
         good = [i for i, (a, b) in enumerate(zip(_words(batch.column("text")), _words(batch.column("other")), strict=True)) if similar(a, b, width, percent)]
-        return {"id": batch.column("id").take(pa.array(good, pa.int64()))}
+        return {"th": batch.column("th").take(pa.array(good, pa.int64()))}
 
     def found(done: DataFrame | None) -> DataFrame:
-        rows = dealt.join(sketches.select("id", "size", "bits"), "id")
-        rows = rows.withColumn("done", F.lit(False)) if done is None else rows.join(done.withColumn("done", F.lit(True)), "id", "left").fillna(False, ["done"])
-        sorted_rows = rows.select("key", "id", "size", "bits", "done").repartition("key").sortWithinPartitions("key", "id")
-        pairs = sorted_rows.mapInArrow(_pairs(percent, done is None), "id long, earlier long, apart long")
-        pairs = pairs.groupBy("id").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")) if done is None else pairs.select("id", "earlier").distinct()
-        with_texts = pairs.join(texts, "id").join(texts.select(F.col("id").alias("earlier"), F.col("text").alias("other")), "earlier")
-        return map_batches(with_texts.select("id", "text", "other"), verify, "id long").distinct()
-
-    one = scratch.keep(found(None), "one")
-    near = scratch.keep(numbered.join(one.union(found(one)), "id", "left_semi").select("th"), "near")
-    scratch.drop(maybe, numbered, texts, sketches, dealt, one)
+        rows = dealt.withColumn("done", F.lit(False)) if done is None else dealt.join(done.withColumn("done", F.lit(True)), "th", "left").fillna(False, ["done"])
+        sorted_rows = rows.select("key", "doc", "th", "size", "bits", "done").repartition("key").sortWithinPartitions("key", "doc", "th")
+        pairs = sorted_rows.mapInArrow(_pairs(percent, done is None), "th long, earlier long, apart long")
+        pairs = pairs.groupBy("th").agg(F.min_by("earlier", F.struct("apart", "earlier")).alias("earlier")) if done is None else pairs.select("th", "earlier").distinct()
+        with_texts = pairs.join(sketches.select("th", "text"), "th").join(sketches.select(F.col("th").alias("earlier"), F.col("text").alias("other")), "earlier")
+        return map_batches(with_texts.select("th", "text", "other"), verify, "th long").distinct()
+
+    one = scratch.keep(found(None), "one", small=True)
+    near = scratch.keep(one.union(found(one)), "near", small=True)
+    scratch.drop(sketches, one)
     doc_name, th_name = fresh(docs, "doc", "th")
     stay = firsts.join(near, "th", "left_anti").select(F.col("doc").alias(doc_name), F.col("th").alias(th_name))
     doc, th, _ = _keyed(docs)
