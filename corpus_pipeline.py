@@ -29,7 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents whose fingerprints link, the one with the smallest doc_id stays; of those left, documents go
     that share 80 percent or more of their five-word shingles with an earlier one."""
-    return similar.keep_unlike(simhash.keep_first(docs, width=4, error=4), width=5, percent=80)
+    firsts = Scratch(spark, "near_duplicates").keep(simhash.keep_first(docs, width=4, error=4), "firsts")  # read several times
+    return similar.keep_unlike(firsts, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
