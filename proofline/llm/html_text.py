@@ -169,8 +169,8 @@ def blocks(page: str | None) -> list[Block]:
                 at = stop.start() if stop else n
     flush()
     size = lambda *zones: sum(b.words for b in out if b.zone in zones)
-    beside = NONE if size(IN_MAIN) >= size(OPEN, _SOFT) else BESIDE_MAIN  # an article with most of the text is all of it
-    final = {_SOFT_IN_MAIN: NONE} | ({_SOFT: beside, OPEN: beside} if size(IN_MAIN) else {_SOFT: BESIDE_MAIN})
+    beside = NONE if size(IN_MAIN) >= size(OPEN) else BESIDE_MAIN  # an article with most of the text is all of it
+    final = {_SOFT_IN_MAIN: NONE} | ({_SOFT: NONE, OPEN: beside} if size(IN_MAIN) else {_SOFT: BESIDE_MAIN})
     for block in out:
         block.zone = final.get(block.zone, block.zone)
     return out
@@ -184,7 +184,13 @@ LABELLED = [
     (18, 0.0, 20, 0.0, 40, 0.0, -2, 0), (80, 0.0, 1, 1.0, 2, 0.0, -2, 0), (65, 0.1, 70, 0.1, 70, 0.1, -2, 0), (12, 0.0, 200, 0.0, 60, 0.0, -2, 0), (48, 0.0, 65, 0.0, 0, 0.0, -2, 0), (110, 0.0, 7, 0.0, 130, 0.0, -2, 0),
     (8, 0.0, 9, 0.0, 70, 0.0, 1, 1), (70, 0.0, 8, 0.0, 90, 0.0, 1, 1), (2, 0.0, 90, 0.0, 40, 0.0, 1, 1), (1, 0.0, 40, 0.0, 1, 0.0, 1, 1), (1, 0.0, 1, 0.0, 30, 0.0, 1, 1), (5, 0.0, 4, 1.0, 3, 0.0, 1, 1),
     (45, 0.05, 1, 0.0, 60, 0.1, 1, 1), (60, 0.3, 45, 0.05, 10, 0.0, 1, 1), (10, 0.4, 60, 0.3, 20, 0.0, 1, 1), (200, 0.0, 3, 0.0, 25, 0.0, 1, 1), (3, 0.0, 0, 0.0, 50, 0.0, 1, 1), (6, 0.5, 30, 0.0, 40, 0.0, 1, 1),
-    (4, 1.0, 60, 0.0, 4, 1.0, 1, 0), (3, 1.0, 4, 1.0, 5, 1.0, 1, 0), (5, 1.0, 3, 1.0, 30, 0.0, 1, 0), (12, 0.0, 5, 1.0, 25, 0.0, 1, 1), (30, 0.0, 20, 0.9, 6, 1.0, 1, 1), (2, 1.0, 80, 0.0, 0, 0.0, 1, 0),
+    (4, 1.0, 60, 0.0, 4, 1.0, 1, 0), (3, 1.0, 4, 1.0, 5, 1.0, 1, 0), (5, 1.0, 3, 1.0, 30, 0.0, 1, 0), (12, 0.0, 5, 1.0, 25, 0.0, 1, 1), (30, 0.0, 20, 0.9, 6, 1.0, 1, 1), (2, 1.0, 80, 0.0, 0, 0.0, 1, 1),
+    (6, 0.7, 30, 0.0, 40, 0.0, 1, 1), (5, 0.8, 1, 0.0, 50, 0.0, 1, 1), (4, 1.0, 60, 0.0, 30, 0.0, 1, 1), (9, 0.9, 12, 0.0, 0, 0.0, 1, 1), (6, 0.7, 0, 0.0, 3, 0.0, 1, 1), (2, 0.6, 5, 1.0, 4, 1.0, 1, 1), (1, 1.0, 1, 1.0, 2, 1.0, 1, 0),
+    (12, 0.0, 5, 1.0, 3, 1.0, 1, 1), (3, 0.0, 1, 1.0, 2, 1.0, 1, 1), (1, 0.0, 4, 1.0, 4, 1.0, 1, 1), (8, 0.0, 40, 0.0, 3, 1.0, 1, 1), (20, 0.2, 6, 1.0, 6, 1.0, 1, 1), (2, 0.0, 0, 0.0, 1, 1.0, 1, 1), (25, 0.0, 60, 0.1, 9, 1.0, 1, 1),
+    (2, 1.0, 2, 1.0, 2, 1.0, 1, 0), (5, 1.0, 30, 0.0, 6, 1.0, 1, 0), (3, 1.0, 3, 1.0, 0, 0.0, 1, 0), (6, 1.0, 6, 1.0, 80, 0.0, 1, 0), (2, 1.0, 3, 1.0, 9, 0.0, 1, 0), (8, 1.0, 8, 1.0, 8, 1.0, 1, 0), (30, 1.0, 5, 1.0, 4, 1.0, 1, 0),
+    (12, 1.0, 25, 0.0, 30, 0.0, 1, 1), (1, 1.0, 9, 0.0, 2, 0.0, 1, 1), (3, 1.0, 0, 0.0, 0, 0.0, 1, 1), (20, 0.9, 60, 0.0, 12, 0.1, 1, 1), (4, 0.9, 3, 1.0, 3, 1.0, 1, 0),
+    (4, 1.0, 30, 0.0, 30, 0.0, 0, 0), (6, 1.0, 0, 0.0, 60, 0.0, 0, 0), (3, 1.0, 60, 0.0, 0, 0.0, 0, 0), (9, 0.9, 10, 0.0, 50, 0.0, 0, 0), (25, 0.9, 40, 0.0, 50, 0.0, 0, 0), (60, 0.0, 5, 0.0, 3, 1.0, 0, 1), (45, 0.1, 2, 1.0, 2, 1.0, 0, 1),
+    (40, 0.8, 30, 0.2, 1, 1.0, 1, 1), (3, 1.0, 2, 0.3, 90, 0.1, 1, 1), (2, 1.0, 30, 0.0, 2, 1.0, 1, 0), (2, 1.0, 2, 1.0, 0, 0.0, 1, 0), (6, 0.8, 3, 1.0, 70, 0.0, 1, 1),
     (2, 1.0, 1, 1.0, 3, 1.0, 0, 0), (1, 1.0, 2, 1.0, 40, 0.0, 0, 0), (3, 0.0, 1, 1.0, 2, 1.0, 0, 0), (5, 0.0, 4, 1.0, 3, 0.0, 0, 0), (4, 0.8, 3, 0.0, 30, 0.0, 0, 0), (4, 0.0, 0, 0.0, 3, 0.0, 0, 0),
     (60, 0.0, 5, 0.0, 70, 0.0, 0, 1), (35, 0.1, 60, 0.0, 20, 0.0, 0, 1), (6, 0.0, 60, 0.0, 55, 0.0, 0, 1), (9, 0.0, 2, 0.0, 60, 0.0, 0, 1), (18, 0.0, 40, 0.0, 35, 0.0, 0, 1), (14, 0.0, 0, 0.0, 0, 0.0, 0, 1),
     (80, 0.0, 0, 0.0, 0, 0.0, 0, 1), (22, 0.0, 3, 1.0, 45, 0.0, 0, 1), (7, 0.0, 6, 0.0, 5, 1.0, 0, 0), (20, 0.7, 30, 0.0, 3, 1.0, 0, 0), (10, 0.6, 10, 0.6, 10, 0.6, 0, 0), (2, 0.0, 70, 0.0, 60, 0.0, 0, 1),
@@ -205,7 +211,7 @@ class Node:
     share: float = 0.0
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
     """A CART tree by Gini impurity; ties go to the first feature and the smallest cut."""
     node = Node(share=float(y.mean()))
     if depth == 0 or len(set(y.tolist())) == 1:

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import html
 import random
 import zlib
 
@@ -437,6 +438,51 @@ def test_html_cases(page, want):
     assert html_text.main_text(page, html_text.trained()) == want
 
 
+def random_page(rng):
+    """A page, and the text of its article by construction."""
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "R&amp;D", "&eacute;t&eacute;", "x&lt;y", "d&#233;j&#xe0;", "zeta"])
+    text = lambda n: " ".join(word() for _ in range(n))
+    plain = lambda t: " ".join(html.unescape(t).split())
+    blocks, out = [], []
+    for _ in range(rng.randint(1, 8)):
+        t, end = text(rng.choice([1, 3, 12, 40, 90])), rng.choice(["</p>", ""])
+        kind = rng.randrange(7)
+        if kind == 0:
+            blocks.append(f"<h2 class='entry title'>{t}</h2>")
+        elif kind == 1:
+            more = text(4)
+            blocks.append(f"<p>{t} <a href=/x>{more}</a>\n\t<b>bold</b>.{end}")
+            t = f"{t} {more} bold."
+        elif kind == 2:
+            blocks.append(f"<p title=it's data-a=\"a>b\">{t}<span class=share>Share this</span> end{end}")
+            t = f"{t} end"
+        elif kind == 3:
+            blocks.append(f"<blockquote>{t}<br>more</blockquote><script>if (a < b) document.write('<p>no</p>')</script>")
+            t = f"{t} more"
+        elif kind == 4:
+            blocks.append(f"<ul><li>{t}<li>last</ul><form class=signup><label>Mail</label> {text(8)}</form>")
+            t = [t, "last"]
+        elif kind == 5:
+            blocks.append(f"<div class='has-sidebar body'>{t}</div><div class=ad>{text(30)}</div><!-- <p>no</p> -->")
+        else:
+            blocks.append(f"<p>{t}{end}<div hidden>{text(9)}</div><style>p {{}}</style>")
+        out += [plain(x) for x in (t if isinstance(t, list) else [t])]
+    head = f"<!doctype html><html><head><title>{text(3)}</title><meta charset=utf-8>{rng.choice(['</head><body>', '<body>'])}"
+    around = [f"<nav><ul><li><a href=/>{text(2)}</a></ul></nav>", f"<header class=top>{text(20)}</header>", f"<aside><p>{text(60)}</p></aside>", f"<div id=cookie-notice>{text(25)}</div>", f"<div class='ad slot'>{text(70)}</div>"]
+    after = [f"<section class=comments><article><p>{text(80)}</p></article></section>", f"<footer>{text(30)} &copy;</footer>", f"<div class=related-posts><a href=/y>{text(5)}</a></div>", f"<form id=search><input><button>{text(1)}</button></form>"]
+    rng.shuffle(around)
+    rng.shuffle(after)
+    wrap = rng.choice([("<article>", "</article>"), ("<main class='site layout'>", "</main>"), ("<form id=aspnetForm><div class=with-sidebar><article>", "</article></div></form>"), ("<div role=main>", "</div>")])
+    return head + "".join(around[: rng.randint(0, 5)]) + wrap[0] + "\n".join(blocks) + wrap[1] + "".join(after[: rng.randint(0, 4)]) + "</body></html>", "\n".join(out)
+
+
+def test_html_of_random_pages():
+    rng, tree = random.Random(33), html_text.trained()
+    for _ in range(400):
+        page, want = random_page(rng)
+        assert html_text.main_text(page, tree) == want, page
+
+
 def test_html_tree_over_all_shapes():
     tree = html_text.trained()
     shapes = [(w, d, pw, pd, nw, nd) for w in (1, 4, 15, 50, 300) for d in (0.0, 0.2, 0.45) for pw in (0, 10, 60) for pd in (0.0, 1.0) for nw in (0, 10, 60) for nd in (0.0, 1.0)]
