@@ -680,6 +680,30 @@ def mutants_per_operator_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.per_operator(mutate.edits(*_mutable(spark, sf_dir, whole=True)))
 
 
+def _case(key: str, table: dict[str, str]) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+@query(with_inputs(WHOLE + f"""
+, ran AS (SELECT e.session_id, k.kind, e.seq, struct_pack(use := 2 * e.seq + 1, result := 2 * e.seq + 2, tool := concat('t', e.event_id), cwd := e.cwd) AS s
+  FROM d_events e JOIN (VALUES ('test_pass', 'test'), ('lint_clean', 'lint'), ('build_ok', 'build')) k(kind, cls) ON e.command_class IN (k.cls, 'composite') WHERE e.type = 'command' AND NOT e.suppressed AND CAST(substring(e.session_id, 2) AS BIGINT) % 4 <> 0)
+, last AS (SELECT c.session_id, c.kind, arg_max(r.s, r.seq) AS s FROM d_claims c JOIN ran r ON r.session_id = c.session_id AND r.kind = c.kind AND r.seq < c.turn GROUP BY ALL)
+SELECT m.session_id, m.operator, m.kind, 9999 AS report_line, CASE WHEN operator IN ('M1', 'M4') THEN concat(s.use, ',', s.result) ELSE '' END AS deletes,
+  CASE WHEN operator = 'M2' THEN concat(s.result, ':fail:', s.tool) WHEN operator = 'M6' THEN concat(s.use, ':suppress:', s.tool) WHEN operator IN ('M3', 'M5', 'M7', 'M8') THEN concat('9999:say:', {_case('m.kind', mutate.PHRASES)}) ELSE '' END AS rewrites,
+  CASE operator WHEN 'M5' THEN 2 WHEN 'M6' THEN 1 WHEN 'M7' THEN 2 WHEN 'M8' THEN 4 ELSE 0 END AS n_inserts, CASE operator WHEN 'M5' THEN {_case('m.kind', mutate.COMMANDS)} WHEN 'M6' THEN {_case('m.kind', mutate.COMMANDS)} WHEN 'M7' THEN 'preflight' WHEN 'M8' THEN 'npm test' END AS command,
+  CASE operator WHEN 'M5' THEN '/w/a/mut-unrelated' WHEN 'M6' THEN coalesce(s.cwd, '/w/a') WHEN 'M7' THEN '/w/a' WHEN 'M8' THEN '/w/a' END AS cwd
+FROM m LEFT JOIN last l ON l.session_id = m.session_id AND l.kind = m.kind
+""", "claims", "events"))
+def mutate_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mutate.edits(*_mutable(spark, sf_dir, whole=True))
+    changes = F.transform("rewrites", lambda r: F.concat_ws(":", r["line"], r["how"], r["arg"]))
+    first = F.get("inserts", F.lit(0))
+    return found.select(
+        "session_id", "operator", "kind", "report_line", _joined("deletes"), F.array_join(changes, ",").alias("rewrites"), F.size("inserts").alias("n_inserts"),
+        F.get_json_object(first, "$.message.content[0].input.command").alias("command"), F.get_json_object(first, "$.cwd").alias("cwd"),
+    )
+
+
 @query(with_inputs(f"""
 , x AS (SELECT event_id % 100 AS k, CAST(floor(event_id / 100) AS INT) + 1 AS line, command FROM d_commands WHERE event_id % 100 IN (SELECT event_id FROM d_commands WHERE event_id < 100))
 , edited AS (SELECT k, line, to_json({{type: 'assistant', "sessionId": concat('mut-m3-s', k, '-test_pass'), message: {{content: CASE WHEN line = 1 THEN concat(command, '{mutate.SEPARATOR}', 'All tests passed.') ELSE command END}}}}) AS raw FROM x)
