@@ -78,6 +78,24 @@ def test_quality_ranks_and_thresholds(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_reads_words(spark):
+    rng = random.Random(50)
+    sentence = lambda words: " ".join(f"{' '.join(rng.choice(words) for _ in range(8)).capitalize()}." for _ in range(rng.randint(2, 9)))
+    shared, fine, poor = (["".join(rng.choice("aeioubdgklmnprst") for _ in range(5)) for _ in range(n)] for n in (60, 40, 40))
+    rows = [(i, sentence(shared + (fine if i % 3 else poor))) for i in range(600)]  # alike but for their words
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)], "doc_id long, quality int")
+    learn = F.col("doc_id") % 5 != 0
+    model = quality.fit(docs, labels, learn)
+    got = {r.doc_id: r["__score"] for r in quality.score(docs, model).collect()}
+    held = range(0, 600, 5)
+    assert sum((got[i] >= 0.3) == (i % 3 > 0) for i in held) >= 0.97 * len(held)
+    again = quality.fit(docs.repartition(5), labels.repartition(3), learn)
+    assert again.lexicon == model.lexicon and np.array_equal(again.weights, model.weights)
+    one = quality.fit(docs, labels.where("quality = 1"), learn)
+    assert one is None
+
+
 def test_bradley_terry_orders_by_strength():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
