@@ -27,7 +27,7 @@ RULES: list[tuple[str, bool, str]] = [
     (r"([a-zA-Z][a-zA-Z0-9+.-]*:\/\/[^\s:/@]+:)([^\s@/]+)(@)", False, "$1[REDACTED_VALUE]$3"),
     (r"\b([A-Za-z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASS|CREDENTIAL|AUTH)[A-Za-z0-9_]*)\s*=\s*(\"[^\"]*\"|'[^']*'|\S+)", True, "$1=[REDACTED_VALUE]"),
 ]
-#: A user's name counts unless it is part of a longer word; the letter of an escape such as \n before it is none.
+#: A user's name counts unless it is part of a longer word; the letter of an escape such as \n before it is none.
 NOT_INSIDE = (r"(?<!(?<!\\)[a-zA-Z0-9])", r"(?![a-zA-Z0-9])")
 
 
@@ -53,13 +53,16 @@ def redact_with_count(df: DataFrame, column: str, out: str, count: str, settings
     return df.withColumn(out, F.col("__text")).drop("__text")
 
 
+#: What is left where a path of a user was not masked, and the label of that.
+RESIDUAL = [(r"\/Users\/(?!USER\b)[A-Za-z0-9_.-]+", "unmasked-Users-path"), (r"-Users-(?!USER-)[A-Za-z0-9_.]+?-", "unmasked-encoded-Users-path")]
+
+
 def residual_secrets(text: Column, settings: Redaction = Redaction()) -> Column:
     """Labels of what redaction should have masked, in a fixed order; empty for null and clean text."""
     found = []
     if settings.known_user:
         found.append(F.when(F.contains(F.lower(text), F.lit(settings.known_user.lower())), F.lit(f"os-username:{settings.known_user}")))
-    found.append(F.when(F.rlike(text, F.lit(js(r"\/Users\/(?!USER\b)[A-Za-z0-9_.-]+"))), F.lit("unmasked-Users-path")))
-    found.append(F.when(F.rlike(text, F.lit(js(r"-Users-(?!USER-)[A-Za-z0-9_.]+?-"))), F.lit("unmasked-encoded-Users-path")))
+    found += [F.when(F.rlike(text, F.lit(js(p))), F.lit(label)) for p, label in RESIDUAL]
     found += [F.when(F.rlike(text, F.lit(js(p))), F.lit(f"dictionary-pattern:{p}")) for p, _ in settings.dictionary]
     return F.array_compact(F.array(*found))
 

@@ -28,7 +28,7 @@ OPERATORS = ("M1", "M2", "M3", "M4", "M5", "M6", "M7", "M8")
 #: A command that is evidence for a kind, and a sentence that claims it and that no negation rule hits.
 COMMANDS = {"test_pass": "npm test", "lint_clean": "npm run lint", "build_ok": "npm run build"}
 PHRASES = {"test_pass": "All tests passed.", "lint_clean": "Lint clean, all good.", "build_ok": "Build succeeded, everything is fine."}
-#: Longer than the window in which a negation counts.
+#: Fixed value: longer than the window in which a negation counts.
 SEPARATOR = "\n\n=== mutation-injected note (unrelated to the above) ===\n"
 TIME = "2026-01-01T00:00:00.000Z"
 #: Expected verdict and reason, and by how much the number of lines changes (M1 and M4: minus the lines left out).
