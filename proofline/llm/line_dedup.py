@@ -26,6 +26,8 @@ BASES = tuple(np.uint64(b) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES)
 
 
+#: Lines, of 50 bytes each, that are sent to all tasks at most.
+HOT_LINES = 10_000
 #: Characters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese. Each is a word.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -196,11 +198,17 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None =
     keyed = docs.select(*_keyed(docs))
     lines = scratch.keep(_lines(keyed, min_words, exact_words), "lines")
     order = F.struct("doc", "th", "line")
-    repeated = scratch.keep(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", "first"), "repeated")
-    exact = lines.select("doc", "th", "line", "h1", "h2").join(repeated, ["h1", "h2"]).where(order != F.col("first")).select("doc", "th", "line", "h1", "h2")
+    repeated = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where("first <> last")
+    repeated = scratch.keep(repeated.select("h1", "h2", "first", "n"), "repeated")
+    # lines that stand in very many places, of which there can be no more than HOT_LINES, meet their copies where these are
+    many = max(1000, lines.count() // HOT_LINES)
+    hot = F.broadcast(repeated.where(F.col("n") > many).select("h1", "h2", F.col("first").alias("hot_first")))
+    placed = lines.select("doc", "th", "line", "h1", "h2").join(hot, ["h1", "h2"], "left")
+    rare = placed.where("hot_first is null").drop("hot_first").join(repeated.where(F.col("n") <= many).drop("n"), ["h1", "h2"])
+    exact = placed.where("hot_first is not null").withColumnRenamed("hot_first", "first").unionByName(rare).where(order != F.col("first"))
     # copies of a line are one row before halves are dealt out
     halves = lines.select(F.explode("halves").alias("half"), "h1").distinct().repartition("half").sortWithinPartitions("half", "h1")
-    maybe = scratch.keep(halves.mapInArrow(_shared, "h1 long").distinct(), "maybe")
+    maybe = scratch.keep(halves.mapInArrow(_shared, "h1 long").distinct(), "maybe", small=True)
     # one row for each different line among them, numbered in the order of their first places
     firsts = lines.select("doc", "th", "line", "h1", "h2").join(maybe, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(order).alias("f"))
     firsts = firsts.select("h1", "h2", "f.doc", "f.th", "f.line")
@@ -220,7 +228,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None =
     one = keyed.join(wanted, ["doc", "th"]).select("text", "picks")
     texts = scratch.keep(map_batches(one, cut, "id long, text string").dropDuplicates(["id"]), "texts")
     found = _variants(texts).repartition("key").sortWithinPartitions("key", "place", "id").mapInArrow(_links, "id long, earlier long")
-    found = scratch.keep(found.distinct(), "found")
+    found = scratch.keep(found.distinct(), "found", small=True)
 
     def verify(batch: pa.RecordBatch) -> dict:
         good = [i for i, (a, b) in enumerate(zip(batch.column("text"), batch.column("other"), strict=True)) if near(words_of(a.as_py()), words_of(b.as_py()))]
@@ -232,12 +240,12 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, exact_words: int | None =
 
     # a line's earliest candidate is near but for chance equality of hashes; all others are tried only then
     linked = found.groupBy("id").agg(F.min("earlier").alias("earlier"))
-    near_ids = scratch.keep(verified(linked), "near_ids")
+    near_ids = verified(linked)
     near_ids = near_ids.unionByName(verified(found.join(linked.select("id").join(near_ids, "id", "left_anti"), "id", "left_semi")))
-    close = scratch.keep(numbered.join(near_ids, "id", "left_semi").select("h1", "h2"), "near")
+    # a near line's copies go as exact ones, so only its first place is left to name
+    close = scratch.keep(numbered.join(near_ids, "id", "left_semi").select("doc", "th", "line"), "near", small=True)
     scratch.drop(maybe, texts, found, numbered)
-    near_rows = lines.select("doc", "th", "line", "h1", "h2").join(close, ["h1", "h2"], "left_semi")
-    both = exact.withColumn("kind", F.lit("exact")).unionByName(near_rows.withColumn("kind", F.lit("near")))
+    both = exact.select("doc", "th", "line", F.lit("exact").alias("kind")).unionByName(close.withColumn("kind", F.lit("near")))
     return both.groupBy("doc", "th", "line").agg(F.min("kind").alias("kind"))
 
 
