@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from proofline.packages import ship
 from proofline.scratch import shared_dir
 
+#: Rows of keys, of some 24 bytes each, that are sent to all tasks at most; of more, both sides are dealt out by key.
+SENT_KEYS = 400_000
 #: Rows in one Arrow batch; with texts of 100,000 characters a batch then stays within tens of MB.
 BATCH_ROWS = "1000"
 
@@ -70,6 +72,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked to be sent to all tasks if it has few rows."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
+def without(docs: DataFrame, keys: list[Column], flagged: DataFrame) -> DataFrame:
+    """docs with all its columns, without the rows whose key is flagged (a, b, gone); of those flagged but not gone, one for each key.
+
+    keys: two numbers of a row. flagged: a written table, each key once. Texts move between tasks only if very many keys are flagged.
+    """
+    names = fresh(docs, "a", "b", "gone")
+    marks = sent(flagged.select(*[F.col(c).alias(n) for c, n in zip(("a", "b", "gone"), names, strict=True)]))
+    marked = docs.select("*", *[k.alias(n) for k, n in zip(keys, names[:2], strict=True)]).join(marks, names[:2], "left")
+    out = marked.where(F.col(names[2]).isNull())
+    if flagged.where("not gone").limit(1).count():
+        out = out.unionByName(marked.where(~F.col(names[2])).dropDuplicates(names[:2]))
+    return out.select(*docs.columns)
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % n

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import Scratch, connected, fresh, map_batches, order_key, prepare, text_hash
+from proofline.llm.common import Scratch, connected, map_batches, order_key, prepare, text_hash, without
 
 #: Pairs of nodes followed at a time, and the number of member pairs from which two nodes are compared outright.
 FRONTIER, SMALL = 1 << 19, 48
@@ -185,8 +185,9 @@ def keep_first(docs: DataFrame, width: int = 4, error: int = 4) -> DataFrame:
 
     Ties of a doc_id go to the smaller hash of the text; of rows equal in both, one stays.
     """
-    _, classes = _classes(docs, width, error)
-    names = fresh(docs, "id", "hash")
-    stay = classes.where("first = component_first").select(F.col("first.id").alias(names[0]), F.col("first.text").alias(names[1]))
-    key = [order_key(F.col("doc_id")).alias(names[0]), text_hash(F.col("text").cast("string")).alias(names[1])]
-    return docs.select("*", *key).join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    rows, classes = _classes(docs, width, error)
+    key = [order_key(F.col("doc_id")), text_hash(F.col("text").cast("string"))]
+    stay = classes.where("first = component_first").select(F.col("first.id").alias("a"), F.col("first.text").alias("b"), F.lit(False).alias("gone"))
+    own = rows.select(order_key(F.col("doc_id")).alias("a"), F.col("text_hash").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    flagged = own.join(stay, ["a", "b"], "left").select("a", "b", F.coalesce("gone", F.lit(True)).alias("gone"), "n").where("gone or n > 1").drop("n")
+    return without(docs, key, Scratch(docs.sparkSession, "simhash").keep(flagged, "flagged", small=True))

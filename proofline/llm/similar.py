@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import Scratch, fresh, map_batches, prepare
+from proofline.llm.common import Scratch, map_batches, prepare, sent as sent_to_all, without
 from proofline.llm.line_dedup import Hashes, _keyed, mixed, words_of
 
 #: Bits of a shingle's hash in the order, of a bitmap, and pairs compared at a time.
@@ -183,8 +183,8 @@ def keep_unlike(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     rows = map_batches(keyed.select("th", "text"), sent, "key long, th long, need int")
     counts = rows.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_counts, "th long, n long")
     maybe = counts.groupBy("th").agg(F.sum("n").alias("n")).where("n >= 0").select("th")
-    firsts = scratch.keep(keyed.groupBy("th").agg(F.min("doc").alias("doc")), "firsts")
-    some = firsts.join(maybe, "th", "left_semi")
+    firsts = scratch.keep(keyed.groupBy("th").agg(F.min("doc").alias("doc"), F.count("*").alias("n")), "firsts")
+    some = sent_to_all(scratch.keep(firsts.select("th", "doc").join(maybe, "th", "left_semi"), "some", small=True))
 
     def sketch(batch: pa.RecordBatch) -> dict:
         owner, key, size = shingle_sets(_words(batch.column("text")), width, frequent)
@@ -215,8 +215,9 @@ def keep_unlike(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     one = scratch.keep(found(None), "one", small=True)
     near = scratch.keep(one.union(found(one)), "near", small=True)
     scratch.drop(sketches, one)
-    doc_name, th_name = fresh(docs, "doc", "th")
-    stay = firsts.join(near, "th", "left_anti").select(F.col("doc").alias(doc_name), F.col("th").alias(th_name))
+    # what goes: similar texts, and the copies of equal ones but for the first; what is flagged and stays: rows that are there again
     doc, th, _ = _keyed(docs)
-    kept = docs.select("*", doc.alias(doc_name), th.alias(th_name)).join(stay, [doc_name, th_name], "left_semi")
-    return kept.dropDuplicates([doc_name, th_name]).select(*docs.columns)
+    copies = keyed.join(firsts.where("n > 1").select("th", F.col("doc").alias("first")), "th").groupBy("doc", "th").agg(F.min("first").alias("first"))
+    flagged = copies.select(F.col("doc").alias("a"), F.col("th").alias("b"), (F.col("doc") != F.col("first")).alias("gone"))
+    flagged = flagged.unionByName(firsts.join(near, "th", "left_semi").select(F.col("doc").alias("a"), F.col("th").alias("b"), F.lit(True).alias("gone")))
+    return without(docs, [doc, th], scratch.keep(flagged.groupBy("a", "b").agg(F.max("gone").alias("gone")), "flagged", small=True))
